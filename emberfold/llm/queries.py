@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
-from .common import cut, documents
+from . import bpe, mixing, quality_rules, sharding, simhash, token_files
+from .common import cut, documents, ship
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +19,54 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(slim, known).select("doc_id", *(base[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), measure["lang"].alias("nearest_lang"), measure["by_class"].alias("class_divergence"), measure["by_word"].alias("word_divergence"))
 
 
+def op3_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.marked(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text", "source")
+    slim = cut(docs)
+    wanted = cut(mixing.targets(slim))
+    taken = mixing.apply_plan(slim, mixing.plan(slim, wanted)).join(wanted, "__ef_source")
+    return taken.select("doc_id", F.col("__ef_size").alias("size"), "source_size", "target", (F.col("__ef_size") * F.col("__ef_copies")).alias("taken"))
+
+
 def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(sharding.sized(documents(spark, sf_dir)))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {
-    "op2_quality_divergence": op2_quality_divergence,
-    "op4_byte_balanced_shards": op4_byte_balanced_shards,
-}
+def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"))
+    ids, decoded = F.col("__ef_bpe.ids"), F.col("__ef_bpe.decoded")
+    return done.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.folder_for(spark)
+    files = cut(token_files.write(documents(spark, sf_dir), folder))
+    return token_files.read(files, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = cut(documents(spark, sf_dir).select(F.col("doc_id").alias("member"), simhash.fingerprint().alias("bits")))
+    return simhash.label(members).select(F.col("member").alias("doc_id"), simhash.hex_of(F.col("bits")).alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+_OPERATORS = (
+    op2_quality_divergence,
+    op3_subset_sum_mix,
+    op4_byte_balanced_shards,
+    op6_backtracking_bpe,
+    op8_pfor_token_files,
+    op10_simhash_pivots,
+)
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {}

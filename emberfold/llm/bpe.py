@@ -33,24 +33,37 @@ import pyarrow as pa
 import regex
 import tokenizers
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import with_computed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Stretches kept in a cache, twice: the newer ones, and those of the last time it was full.
-CACHE = 300_000
+CACHE = 900_000
 LONGEST_CACHED = 64
 NO_LIMIT = 1 << 40
 _stretch = re.compile(r"[^\x20\x09-\x0D]+")
+# Latin letters, which are single code points in NFC and whose case every Unicode version has alike, then ASCII marks.
+_word_and_marks = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)")
 
 
 class Cache:
-    """A dictionary of bounded size: when full, it becomes the older half, and entries used again come back."""
+    """A dictionary of bounded size: when full, it becomes the older half, and entries used again come back.
+
+    A stretch of letters and marks after them has the ids of its lowered letters, then of the marks: pieces part there.
+    """
 
     def __init__(self, make, size: int = CACHE):
         self.make, self.size, self.new, self.old = make, size, {}, {}
 
+    def _made(self, key: str) -> bytes:
+        if parts := _word_and_marks.fullmatch(key):
+            word, marks = parts[1].lower(), parts[2]
+            if marks:
+                return self[word] + self[marks]
+            if word != key:
+                return self[word]
+        return self.make(key)
+
     def __getitem__(self, key: str) -> bytes:
         value = self.new.get(key)
         return self.missing(key) if value is None else value
@@ -58,7 +71,7 @@ class Cache:
     def missing(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value = self.make(key)
+            value = self._made(key)
         if len(key) <= LONGEST_CACHED:
             if len(self.new) >= self.size:
                 self.old, self.new = self.new, {}
@@ -223,19 +236,13 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded(text: str | Column = "text", path: str | None = None) -> Column:
-    """struct<ids binary, decoded string> of a text column."""
+def encode_and_decode(docs: DataFrame, text: str | Column = "text", path: str | None = None) -> DataFrame:
+    """Add the column __ef_bpe, struct<ids binary, decoded string>."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    @F.arrow_udf("ids binary, decoded string")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(texts: list[str]) -> pa.Array:
         bpe = word_bpe(path)
-        ids = [bpe.encode(t.as_py()) for t in texts]
+        ids = [bpe.encode(t) for t in texts]
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([bpe.decode(i).decode("utf-8", "replace") for i in ids], pa.string())], ["ids", "decoded"])
 
-    return both(whole_text(text))
-
-
-def encode_and_decode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Add the struct column __ef_bpe."""
-    return docs.withColumn("__ef_bpe", encoded(text, path))
+    return with_computed(docs, "__ef_bpe", "struct<ids:binary,decoded:string>", both, text)

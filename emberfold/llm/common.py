@@ -6,10 +6,13 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule, and a word: fixed by the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -84,3 +87,27 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._emberfold_shipped = True
+
+
+#: Texts that `with_computed` hands over at a time, so that what is computed from them stays small.
+SLICE_BYTES = 2_000_000
+
+
+def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list[str]], pa.Array], text: str | Column = "text") -> DataFrame:
+    """Add a column that Python computes from whole texts, some of them at a time by their bytes rather than by rows."""
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+    texts_at = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, first = batch.column(texts_at), 0
+            while first < batch.num_rows:
+                some, size = [], 0
+                while first + len(some) < batch.num_rows and size < SLICE_BYTES:
+                    some.append(texts[first + len(some)].as_py())
+                    size += len(some[-1])
+                part = batch.slice(first, len(some))
+                yield pa.RecordBatch.from_arrays([*part.columns[:texts_at], compute(some)], names=schema.names)
+                first += len(some)
+
+    return docs.select("*", whole_text(text).alias("__ef_text")).mapInArrow(run, schema)

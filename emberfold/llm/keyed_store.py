@@ -1,0 +1,78 @@
+"""A table of (64-bit key, number) in sorted Parquet files of the shared folder, read by Python tasks in bounded memory.
+
+It takes the place of a broadcast where the table grows with the corpus: a task sorts its own distinct keys and merges
+them with the row groups whose range they fall in. A process keeps a table that is small enough in memory; beyond that
+row groups are read as they are needed, so memory stays bounded at any size.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import scratch, shuffle_width
+
+#: Rows of a table that a process keeps in memory, 16 bytes each.
+KEPT_ROWS = 12_000_000
+
+
+def write(rows: DataFrame, name: str) -> str:
+    """rows: key long, value. Keys are distinct. The folder's URI."""
+    folder = scratch(rows.sparkSession, name)
+    rows.select("key", F.col("value").cast("double").alias("value")).repartitionByRange(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key").write.mode("overwrite").parquet(folder)
+    return re.sub(r"^file:/(?!/)", "file:///", folder)
+
+
+class KeyedTable:
+    def __init__(self, uri: str):
+        self.fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+        files = [f.path for f in self.fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        groups = []
+        for path in files:
+            meta = pq.read_metadata(path, filesystem=self.fs)
+            for g in range(meta.num_row_groups):
+                of = meta.row_group(g)
+                if of.num_rows:
+                    keys = next(of.column(c) for c in range(of.num_columns) if of.column(c).path_in_schema == "key").statistics
+                    groups.append((keys.min, keys.max, path, g, of.num_rows))
+        self.groups = sorted(groups)
+        self.whole = None
+        if sum(g[4] for g in groups) <= KEPT_ROWS:
+            parts = [self._read(g) for g in self.groups]
+            self.whole = tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+
+    def _read(self, group: tuple) -> tuple[np.ndarray, np.ndarray]:
+        with self.fs.open_input_file(group[2]) as f:
+            t = pq.ParquetFile(f).read_row_group(group[3], columns=["key", "value"])
+        return t["key"].to_numpy(), t["value"].to_numpy()
+
+    def lookup(self, keys: np.ndarray, missing: float = 0.0) -> np.ndarray:
+        """The numbers of sorted keys."""
+        out = np.full(len(keys), missing)
+        if self.whole is not None:
+            self._merge(keys, *self.whole, out)
+            return out
+        for group in self.groups:
+            a, b = np.searchsorted(keys, group[0], "left"), np.searchsorted(keys, group[1], "right")
+            if a < b:
+                self._merge(keys[a:b], *self._read(group), out[a:b])
+        return out
+
+    @staticmethod
+    def _merge(keys: np.ndarray, have: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+        if not len(have):
+            return
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        hit = have[at] == keys
+        out[hit] = values[at[hit]]
+
+
+@lru_cache(maxsize=4)
+def table(uri: str) -> KeyedTable:
+    return KeyedTable(uri)

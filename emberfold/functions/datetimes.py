@@ -89,7 +89,7 @@ def date_difference(a, b) -> Column:
 
 def micros_of(ts) -> Column:
     """Microseconds since 1970, of a timestamp without zone."""
-    return F.unix_micros(column(ts).cast("timestamp"))
+    return F.unix_micros(column(ts).cast("timestamp_ltz"))
 
 
 def timestamp_difference(a, b) -> Column:

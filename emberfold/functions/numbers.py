@@ -14,8 +14,7 @@ WIDTHS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 def int_div(a, b) -> Column:
     """Whole numbers divide toward zero; a divisor of 0 is an error."""
-    a, b = value(a), value(b)
-    return ((a - a % b) / b).cast("bigint")
+    return F.call_function("div", value(a), value(b))
 
 
 def remainder(a, b) -> Column:

@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None):
     return registered
 
 
-from . import collections, functions, logs, relational, statements  # noqa: E402, F401
+from . import collections, functions, logs, relational, statements, streams  # noqa: E402, F401, I001

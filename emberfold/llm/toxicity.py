@@ -20,7 +20,8 @@ Words' values are kept in a cache of bounded size.
 Defined results: a null or empty text, and one without letters, has no word
 and gets the score of the least values.
 Repeated rows train as often as the sample holds them. Without toxic or without clean training rows the score is the
-share of toxic ones, or zero without any. An empty table gives no rows.
+share of toxic ones, or zero without any; so
+it is where no window tells them apart. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.6, 12, 6
+ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.85, 12, 6
 ALPHABET = 40
 #: The sample that trains: rows of each class, by seeded hash, of texts up to so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 72, 24, 0.85
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1200, 8_000
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 160, 40, 0.8
 ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 400_000, 4_000_000
-#: Words of a document that its score reads, windows of a bag that stand for it, and the range of values that count.
-STRONGEST, WITNESSES, LEAST, MOST = 5, 3, -1.1, 1.3
+#: Words of a document that its score reads, windows of a bag that stand for it or may be landmarks, and the values that count.
+STRONGEST, WITNESSES, CANDIDATES, LEAST, MOST = 5, 5, 12, -1.1, 1.3
+#: How much more often toxic documents must hold a window than clean ones for it to stand for them.
+LIFT = 3
 # Digits that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _singles = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
@@ -128,6 +131,15 @@ def pooled(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def subsequences_of_many(rows: np.ndarray, lengths: np.ndarray, at_once: int = 5_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same in narrow types, computed some rows at a time."""
+    parts = []
+    for i in range(0, len(rows), at_once):
+        row, code, value = subsequences(rows[i : i + at_once], lengths[i : i + at_once])
+        parts.append(((row + i).astype(np.int32), code.astype(np.int32), value.astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
 @dataclass(frozen=True)
 class Machine:
     #: Weight of each subsequence, the bias, and what the logistic function gives to each of the pooled values.
@@ -189,7 +201,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
         sentences = [words_of(s) for s in _sentences.findall(text)]
         bags.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], dtype=np.int64))
     rows, lengths, word = windows(list(vocabulary))
-    row, code, value = subsequences(rows, lengths)
+    row, code, value = subsequences_of_many(rows, lengths)
     n_codes = ALPHABET**ORDER
     ends = np.searchsorted(row, np.arange(len(rows) + 1))
     first_window = np.searchsorted(word, np.arange(len(vocabulary) + 1))
@@ -208,10 +220,14 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     odds = np.where(seen[1] >= min(3, n_toxic), odds, 0.0)
 
     def decided(weights: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=value * weights[code], minlength=len(rows))
+        out = np.zeros(len(rows))
+        for i in range(0, len(row), 500_000):
+            some = slice(i, i + 500_000)
+            np.add.at(out, row[some], value[some] * weights[code[some]])
+        return out
 
-    def strongest(values: np.ndarray, of: np.ndarray, k: int) -> list[np.ndarray]:
-        return [bags[i][np.argsort(-values[bags[i]])[:k]] for i in of if len(bags[i])]
+    def strongest(values: np.ndarray, of: list[np.ndarray], k: int) -> np.ndarray:
+        return np.concatenate([b[np.argsort(-values[b])[:k]] for b in of] or [np.zeros(0, np.int64)])
 
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out, dense = np.zeros((len(a), len(b))), np.zeros(n_codes)
@@ -224,17 +240,19 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
             dense[code[own]] = 0
         return out
 
-    bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+    # What is about as common in clean documents as in toxic ones stands for no bag.
+    in_toxic, in_clean = (np.bincount(np.concatenate([b for b, t in zip(bags, toxic) if t == want]), minlength=len(rows)) for want in (True, False))
+    lifted = in_toxic * n_clean >= LIFT * (in_clean + 0.5) * n_toxic
+    bad, good = [b[lifted[b]] for b, t in zip(bags, toxic) if t], [b for b, t in zip(bags, toxic) if not t]
     values = decided(np.maximum(odds, 0) ** 2)
-    candidates, votes = np.unique(np.concatenate(strongest(values, bad, WITNESSES) or [np.zeros(0, np.int64)]), return_counts=True)
+    candidates, votes = np.unique(strongest(values, bad, CANDIDATES), return_counts=True)
     candidates = candidates[np.argsort(-(votes * values[candidates]), kind="stable")][: TOXIC_LANDMARKS * 8]
     alike, chosen = kernel(candidates, candidates), []
     for i in range(len(candidates)):
         if len(chosen) < TOXIC_LANDMARKS and (not chosen or alike[i, chosen].max() < ALIKE) and alike[i, i] > 0:
             chosen.append(i)
     filled = np.flatnonzero(np.diff(ends) > 0)
-    clean = np.unique(np.concatenate([bags[i] for i in good] or [np.zeros(0, np.int64)]))
-    clean = np.intersect1d(clean, filled)
+    clean = np.intersect1d(np.concatenate(good), filled)
     landmarks = np.concatenate([candidates[chosen], rng.permutation(clean)[:CLEAN_LANDMARKS]]).astype(np.int64)
     if not len(landmarks):
         return float(toxic.mean())
@@ -245,11 +263,11 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     weights, bias = np.maximum(odds, 0) ** 2, 0.0
     for _ in range(ROUNDS):
         values = decided(weights)
-        positives = np.concatenate(strongest(values, bad, WITNESSES))
-        hard = np.concatenate(strongest(values, good, 2) or [np.zeros(0, np.int64)])
-        negatives = np.unique(np.concatenate([negatives, hard]))
-        at = np.concatenate([positives, negatives])
-        y = np.repeat([1.0, -1.0], [len(positives), len(negatives)])
+        positives = strongest(values, bad, WITNESSES)
+        negatives = np.concatenate([negatives, strongest(values, good, 2)])
+        if not len(positives):
+            return float(toxic.mean())
+        at, y = np.concatenate([positives, negatives]), np.repeat([1.0, -1.0], [len(positives), len(negatives)])
         cost = np.where(y > 0, 1.0 / len(positives), 1.0 / len(negatives))
         w = _machine(kernel(at, landmarks) @ whiten, y, cost)
         pull, bias = whiten @ w[:-1], float(w[-1])

@@ -111,3 +111,10 @@ def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list
                 first += len(some)
 
     return docs.select("*", whole_text(text).alias("__ef_text")).mapInArrow(run, schema)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like `cut`, for wide rows: a compressed Parquet table in the shared folder, of which later reads take what they need."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

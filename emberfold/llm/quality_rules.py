@@ -120,18 +120,18 @@ def features(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Dat
     return out.withColumn(BASE, base).withColumn(MEASURE, measure).drop(*added)
 
 
-def _shares(counts: list[Column], total: Column) -> list[Column]:
-    return [F.when(total > 0, c / total).otherwise(F.lit(0.0)) for c in counts]
+def _shares(counts: Column, total: Column) -> Column:
+    return F.transform(counts, lambda c: F.when(total > 0, c / total).otherwise(F.lit(0.0)))
 
 
-def _histograms(rules: Rules) -> dict[str, dict[str, list[Column]]]:
+def _histograms(rules: Rules) -> dict[str, dict[str, Column]]:
     """For each listed language, the shares by kind: classes of word characters; its own common words and the rest."""
     base, m, vocabulary = F.col(BASE), F.col(MEASURE), rules.vocabulary
-    classes = _shares([F.get(m["classes"], F.lit(i)) for i in range(len(CLASSES))], base["word_chars"])
-    out = {}
+    classes, out = _shares(m["classes"], base["word_chars"]), {}
     for lang, words in rules.common_words.items():
-        own = [F.get(m["words"], F.lit(vocabulary.index(w))) for w in words]
-        out[lang] = {"classes": classes, "words": _shares([*own, base["n_words"] - sum(own, F.lit(0))], base["n_words"])}
+        own = F.array(*(F.get(m["words"], F.lit(vocabulary.index(w))) for w in words))
+        rest = base["n_words"] - F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+        out[lang] = {"classes": classes, "words": _shares(F.concat(own, F.array(rest)), base["n_words"])}
     return out
 
 
@@ -144,24 +144,27 @@ def references(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang")
 
     The result has a row for each listed language at most, so it is brought to the driver.
     """
-    shares, known = _histograms(rules), {}
-    of = F.col(lang)
-    means = [F.array(*(F.avg(x) for x in shares[name][kind])).alias(f"{name}_{kind}") for name in shares for kind in ("classes", "words")]
-    for r in measured.where(of.isin(list(shares)) & _judged(rules)).groupBy(of.alias("name")).agg(*means).collect():
-        known[r["name"]] = {kind: list(r[f"{r['name']}_{kind}"]) for kind in ("classes", "words")}
+    shares, own, known = _histograms(rules), None, {}
+    for name, kinds in shares.items():
+        both = F.concat(kinds["classes"], kinds["words"])
+        own = F.when(F.col(lang) == name, both) if own is None else own.when(F.col(lang) == name, both)
+    rows = measured.where(F.col(lang).isin(list(shares)) & _judged(rules)).select(F.col(lang).alias("name"), own.alias("own"))
+    most = len(CLASSES) + max(map(len, rules.common_words.values())) + 1
+    for r in rows.groupBy("name").agg(*(F.avg(F.get("own", F.lit(i))).alias(f"s{i}") for i in range(most))).collect():
+        means = [r[f"s{i}"] for i in range(len(CLASSES) + len(rules.common_words[r["name"]]) + 1)]
+        known[r["name"]] = {"classes": means[: len(CLASSES)], "words": means[len(CLASSES) :]}
     return known
 
 
-def divergence(shares: list[Column], reference: list[float]) -> Column:
+def divergence(shares: Column, reference: list[float]) -> Column:
     """Jensen-Shannon divergence, base 2, from 0 to 1."""
 
-    def part(p: Column, q: float) -> Column:
-        if q <= 0:
-            return p / 2
-        both = p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q))
-        return F.when(p > 0, both / 2).otherwise(F.lit(q / 2))
+    def part(p: Column, q: Column) -> Column:
+        one = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(F.lit(0.0))
+        return (one(p) + one(q)) / 2
 
-    return F.greatest(F.lit(0.0), sum((part(p, float(q)) for p, q in zip(shares, reference, strict=True)), F.lit(0.0)))
+    parts = F.zip_with(shares, F.array(*(F.lit(float(q)) for q in reference)), part)
+    return F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
 
 
 def judge(measured: DataFrame, known: dict[str, dict[str, list[float]]], rules: Rules = Rules()) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, whole_text
+from .common import SPACE, cut, whole_text, written
 
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 20
 #: The knapsack starts once no more than so many words of a budget are left.
@@ -151,7 +151,7 @@ def apply_plan(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
-    all_docs = marked(docs, key, source, text, seed)
+    all_docs = written(marked(docs, key, source, text, seed), "marked")  # a row's place stays what it is
     slim = cut(all_docs.select("__ef_source", "__ef_size", "__ef_hash", "__ef_row"))
     taken = apply_plan(all_docs, plan(slim, targets(slim))).where(F.col("__ef_copies") > 0)
     return taken.withColumn("__ef_copy", F.explode(F.sequence(F.lit(1), F.col("__ef_copies")))).select(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, whole_text, written
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 BLOCK_BITS = 16
@@ -117,9 +117,9 @@ def _links_of(pair: np.ndarray, part: np.ndarray, bits: np.ndarray, distances: n
     while len(at := at[at + step < len(bits)]):
         at = at[(pair[at] == pair[at + step]) & (part[at] == part[at + step])]
         near = at[np.abs(low[at] - low[at + step]).max(axis=1, initial=0) <= MOST_BITS] if len(at) else at
-        sure = near[np.bitwise_count(bits[near] ^ bits[near + step]) <= MOST_BITS]
+        sure = near[np.bitwise_count((bits[near] ^ bits[near + step]).view(np.uint64)) <= MOST_BITS]
         for i in sure[parent[sure] != parent[sure + step]]:
-            a, b = root(int(i)), root(int(i) + step)
+            a, b = root(int(i)), root(int(i + step))
             parent[max(a, b)] = min(a, b)
         step += 1
     roots = np.array([root(i) for i in np.flatnonzero(parent != np.arange(len(bits)))], dtype=np.int64)
@@ -173,8 +173,11 @@ def label(members: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest key; of repeated rows, the first."""
-    placed = docs.withColumn("__ef_row", F.monotonically_increasing_id())
+    """One document of each component, the one with the smallest key; of repeated rows, the first.
+
+    The documents are written with their places first, as a place must not change from one evaluation to the next.
+    """
+    placed = written(docs.withColumn("__ef_row", F.monotonically_increasing_id()), "placed")
     members = cut(placed.select(F.struct(F.col(key).alias("key"), F.col("__ef_row").alias("row")).alias("member"), fingerprint(text).alias("bits")))
     firsts = label(members).where(F.col("member") == F.col("first")).select(F.col("member.row").alias("__ef_row"))
     return placed.join(firsts, "__ef_row", "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ gap in either, and is normalised; so characters that are inserted or left apart
 
 Training takes a bounded sample of labelled documents, cut into sentences. A toxic document is a bag of which some
 sentences are toxic: its strongest windows stand for them. Landmarks are strong windows of toxic sentences, unlike one
-another, and some of clean ones. Windows become kernel values at the landmarks times the inverse
+another, and some of clean ones; toxic ones with a letter put in somewhere train as well. Windows become kernel values at the landmarks times the inverse
 root of the landmarks' kernel matrix, and a linear machine with squared hinge loss is trained on them in rounds, each
 choosing the bags' windows and the hardest clean ones anew. As kernel, map and machine are linear in a window's
 subsequences, the trained machine is a table of weights over subsequences: scoring a window looks up its own.
@@ -48,6 +48,8 @@ ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 400_000, 4_000_00
 STRONGEST, WITNESSES, CANDIDATES, LEAST, MOST = 5, 5, 12, -1.1, 1.3
 #: How much more often toxic documents must hold a window than clean ones for it to stand for them.
 LIFT = 3
+#: Altered copies of a landmark that train as toxic, and the cost of all of them beside the bags' windows.
+VARIANTS, VARIANT_COST = 3, 0.5
 # Digits that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _singles = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
@@ -191,6 +193,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
+def _with_a_letter(symbols: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A letter put in after the first two symbols or later, within a window."""
+    return np.insert(symbols, rng.integers(2, max(3, len(symbols))), rng.integers(1, 27))[:WINDOW]
+
+
 def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None, seed: int = SEED) -> Machine | float:
     """toxic_share: of all labelled rows; without it, that of the texts."""
     toxic = np.asarray(toxic, dtype=bool)
@@ -202,7 +209,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
         bags.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], dtype=np.int64))
     rows, lengths, word = windows(list(vocabulary))
     row, code, value = subsequences_of_many(rows, lengths)
-    n_codes = ALPHABET**ORDER
+    n_codes, n_rows = ALPHABET**ORDER, len(rows)
     ends = np.searchsorted(row, np.arange(len(rows) + 1))
     first_window = np.searchsorted(word, np.arange(len(vocabulary) + 1))
 
@@ -220,7 +227,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     odds = np.where(seen[1] >= min(3, n_toxic), odds, 0.0)
 
     def decided(weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows))
+        out = np.zeros(n_rows)
         for i in range(0, len(row), 500_000):
             some = slice(i, i + 500_000)
             np.add.at(out, row[some], value[some] * weights[code[some]])
@@ -256,6 +263,13 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     landmarks = np.concatenate([candidates[chosen], rng.permutation(clean)[:CLEAN_LANDMARKS]]).astype(np.int64)
     if not len(landmarks):
         return float(toxic.mean())
+    # Landmarks of toxic sentences with a letter put in somewhere, as positive windows of their own.
+    altered = [_with_a_letter(rows[w][: lengths[w]], rng) for w in candidates[chosen] for _ in range(VARIANTS)]
+    extra_rows, extra_lengths = np.array([np.pad(x, (0, WINDOW - len(x))) for x in altered]).reshape(-1, WINDOW), np.array([len(x) for x in altered], dtype=np.int64)
+    more_row, more_code, more_value = subsequences_of_many(extra_rows, extra_lengths)
+    extra, n_rows = np.arange(len(altered)) + len(rows), len(rows) + len(altered)
+    row, code, value = np.concatenate([row, more_row + np.int32(len(rows))]), np.concatenate([code, more_code]), np.concatenate([value, more_value])
+    ends = np.searchsorted(row, np.arange(n_rows + 1))
     root_values, root = np.linalg.eigh(kernel(landmarks, landmarks))
     keep = root_values > 1e-6
     whiten = root[:, keep] / np.sqrt(root_values[keep])
@@ -267,15 +281,15 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
         negatives = np.concatenate([negatives, strongest(values, good, 2)])
         if not len(positives):
             return float(toxic.mean())
-        at, y = np.concatenate([positives, negatives]), np.repeat([1.0, -1.0], [len(positives), len(negatives)])
-        cost = np.where(y > 0, 1.0 / len(positives), 1.0 / len(negatives))
+        at, y = np.concatenate([positives, extra, negatives]), np.repeat([1.0, -1.0], [len(positives) + len(extra), len(negatives)])
+        cost = np.repeat([1.0 / len(positives), VARIANT_COST / max(1, len(extra)), 1.0 / len(negatives)], [len(positives), len(extra), len(negatives)])
         w = _machine(kernel(at, landmarks) @ whiten, y, cost)
         pull, bias = whiten @ w[:-1], float(w[-1])
         weights = np.zeros(n_codes)
         for z, a in zip(landmarks, pull):
             weights[code[ends[z] : ends[z + 1]]] += a * value[ends[z] : ends[z + 1]]
     per_word = np.full(len(vocabulary), -np.inf)
-    np.maximum.at(per_word, word, decided(weights) + bias)
+    np.maximum.at(per_word, word, decided(weights)[: len(word)] + bias)
     share = toxic.mean() if toxic_share is None else toxic_share
     cost = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     pooling = _logistic(pooled([per_word[b] for b in spoken]), toxic.astype(float), cost)

@@ -79,3 +79,12 @@ def test_without_references_the_base_rule_decides(spark):
 def test_no_python_in_the_plan(odd_docs):
     plan = judged(written(Q.features(odd_docs), "q"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_matches_sql(spark):
+    from compare import compare, duck
+
+    from emberfold.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    compare(queries.QUERIES["op2_quality_divergence"](spark, folder), duck(folder), queries.ORACLE_SQL["op2_quality_divergence"])

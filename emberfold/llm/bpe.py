@@ -41,7 +41,6 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE = 900_000
 LONGEST_CACHED = 64
 NO_LIMIT = 1 << 40
-_stretch = re.compile(r"[^\x20\x09-\x0D]+")
 # Latin letters, which are single code points in NFC and whose case every Unicode version has alike, then ASCII marks.
 _word_and_marks = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)")
 
@@ -49,26 +48,28 @@ _word_and_marks = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u
 class Cache:
     """A dictionary of bounded size: when full, it becomes the older half, and entries used again come back.
 
-    A stretch of letters and marks after them has the ids of its lowered letters, then of the marks: pieces part there.
+    Keys are UTF-8, as bytes split at ASCII white space alone. A stretch of letters and marks after them has the ids of its
+    lowered letters, then of the marks: pieces part there.
     """
 
     def __init__(self, make, size: int = CACHE):
         self.make, self.size, self.new, self.old = make, size, {}, {}
 
-    def _made(self, key: str) -> bytes:
-        if parts := _word_and_marks.fullmatch(key):
+    def _made(self, key: bytes) -> bytes:
+        text = key.decode()
+        if parts := _word_and_marks.fullmatch(text):
             word, marks = parts[1].lower(), parts[2]
             if marks:
-                return self[word] + self[marks]
-            if word != key:
-                return self[word]
-        return self.make(key)
+                return self[word.encode()] + self[marks.encode()]
+            if word != text:
+                return self[word.encode()]
+        return self.make(text)
 
-    def __getitem__(self, key: str) -> bytes:
+    def __getitem__(self, key: bytes) -> bytes:
         value = self.new.get(key)
         return self.missing(key) if value is None else value
 
-    def missing(self, key: str) -> bytes:
+    def missing(self, key: bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self._made(key)
@@ -78,7 +79,7 @@ class Cache:
             self.new[key] = value
         return value
 
-    def join(self, keys: list[str]) -> bytes:
+    def join(self, keys: list[bytes]) -> bytes:
         """The values of all keys, one after the other."""
         found = list(map(self.new.get, keys))
         if None in found:
@@ -216,7 +217,7 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.cache.join(_stretch.findall(text))
+        return self.cache.join(text.encode().split())
 
     def decode(self, ids: bytes) -> bytes:
         """The text in UTF-8."""

@@ -39,10 +39,9 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, Cache
 from .common import scratch, shuffle_width, whole_text
 
-MAGIC, BLOCK, PERCENTILE, END_ID = b"EFT1", 1024, 98, 1
+MAGIC, BLOCK, PERCENTILE, END_ID = b"EFT1", 4096, 98, 1
 _HEAD = struct.Struct("<IHBxHxx")
 _TAIL = struct.Struct("<QQQ")
-_stretch = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class LibraryEncoder:
@@ -66,7 +65,7 @@ class LibraryEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.cache.join(_stretch.findall(text)) if self.by_stretch else self._encode(text)
+        return self.cache.join(text.encode().split()) if self.by_stretch else self._encode(text)
 
 
 @lru_cache(maxsize=2)
@@ -118,7 +117,7 @@ class FileWriter:
         self.n += len(ids)
         self.waiting.append(ids)
         self.held += len(ids)
-        if self.held >= 64 * BLOCK:
+        if self.held >= 16 * BLOCK:
             self._flush(self.held // BLOCK * BLOCK)
 
     def _flush(self, upto: int) -> None:

@@ -41,9 +41,9 @@ from .common import whole_text
 ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.85, 12, 6
 ALPHABET = 40
 #: The sample that trains: rows of each class, by seeded hash, of texts up to so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1200, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 6_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 160, 40, 0.8
-ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 400_000, 4_000_000
+ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 250_000, 1_500_000
 #: Words of a document that its score reads, windows of a bag that stand for it or may be landmarks, and the values that count.
 STRONGEST, WITNESSES, CANDIDATES, LEAST, MOST = 5, 5, 12, -1.1, 1.3
 #: How much more often toxic documents must hold a window than clean ones for it to stand for them.
@@ -152,8 +152,8 @@ class Machine:
     def values(self, words: list[str]) -> np.ndarray:
         """Decision value of each word."""
         out = np.full(len(words), -np.inf)
-        for i in range(0, len(words), 20_000):
-            rows, lengths, word = windows(words[i : i + 20_000])
+        for i in range(0, len(words), 5_000):
+            rows, lengths, word = windows(words[i : i + 5_000])
             row, code, value = subsequences(rows, lengths)
             decided = np.bincount(row, weights=value * self.weights[code], minlength=len(rows)) + self.bias
             np.maximum.at(out, i + word, decided)

@@ -33,20 +33,25 @@ def limit_offset(df: DataFrame, limit: int | None = None, offset: int = 0) -> Da
     return df if limit is None else df.limit(limit)
 
 
+#: Parts that a key's rows are dealt into before its first row is chosen.
+SALTS = 64
+
+
 def distinct_on(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     """The first row of each key in the order given.
 
-    A grouped minimum over (order, row) rather than a window: it combines before the shuffle, so a key that holds a third
-    of all rows is no larger than any other.
+    Where every key of the order is ascending, a grouped minimum over (order, row), which combines before its shuffle.
+    Otherwise ranks in two steps, first within (key, salt), so that a key with a third of all rows is dealt over many tasks.
     """
-    if not all(isinstance(k, (str, tuple)) for k in order) or any(isinstance(k, tuple) and k[1].upper() == "DESC" for k in order):
-        first = Window.partitionBy(*map(column, keys)).orderBy(*(ordering(k, df) for k in order))
-        return df.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    # In a struct null sorts first; the flag puts it last.
-    ranks = [x for k in order for x in (F.col(k if isinstance(k, str) else k[0]).isNull(), F.col(k if isinstance(k, str) else k[0]))]
-    row = F.struct(*(F.col(c) for c in df.columns)).alias("row")
-    best = df.groupBy(*map(column, keys)).agg(F.min_by(row, F.struct(*ranks)).alias("__row"))
-    return best.select("__row.*")
+    if all(isinstance(k, str) for k in order):
+        # In a struct null sorts first; the flag puts it last.
+        ranks = [x for k in order for x in (F.col(k).isNull(), F.col(k))]
+        row = F.struct(*(F.col(c) for c in df.columns))
+        return df.groupBy(*map(column, keys)).agg(F.min_by(row, F.struct(*ranks)).alias("__row")).select("__row.*")
+    by, ranked = list(map(column, keys)), [ordering(k, df) for k in order]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(SALTS)))
+    firsts = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*ranked))).where("__rank = 1")
+    return firsts.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*ranked))).where("__rank = 1").drop("__rank", "__salt")
 
 
 def join(left: DataFrame, right: DataFrame, on: Column | None = None, how: str = "inner") -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import previous, running_sum, with_blocks
+
 
 def as_of(log: DataFrame, key: Sequence[str] | str, txn: str, timestamp, deleted: Column) -> DataFrame:
     """The rows of the table at a timestamp: each key's latest row up to it, unless that is a deletion.
@@ -40,65 +42,43 @@ def kv_get(log: DataFrame, key: str, value: str, txn: str, deleted: Column, time
 
 def kv_history(log: DataFrame, key: str, value: str, txn: str, deleted: Column) -> DataFrame:
     """For every operation, what PUT returns (the value before, null without one) and DELETE (whether the key was there)."""
-    w = Window.partitionBy(key).orderBy(txn)
-    live = F.when(~deleted, F.col(value))
-    rows = log.withColumn("__live", live).withColumn("__there", ~deleted)
-    return rows.withColumn("previous", F.lag("__live").over(w)).withColumn("existed", F.coalesce(F.lag("__there").over(w), F.lit(False))).drop("__live", "__there")
+    values = {"previous": F.when(~deleted, F.col(value)), "existed": ~deleted}
+    return previous(log, [key], txn, values).withColumn("existed", F.coalesce("existed", F.lit(False)))
+
+
+def _queue(log: DataFrame, seq: str, op: str, by: list[str]) -> DataFrame:
+    """Adds __era, the number of CLEARs so far; in it __net, enqueues less dequeues, its least value, and __puts."""
+    kind = F.col(op)
+    rows = running_sum(with_blocks(log, seq), by, seq, F.when(kind == "CLEAR", 1).otherwise(0), "__era")
+    rows = running_sum(rows, [*by, "__era"], seq, F.when(kind == "ENQUEUE", 1).otherwise(0), "__puts")
+    return running_sum(rows, [*by, "__era"], seq, F.when(kind == "ENQUEUE", 1).when(kind == "DEQUEUE", -1).otherwise(0), "__net", low="__low")
 
 
 def queue_matches(log: DataFrame, seq: str, op: str, partition: Sequence[str] = ()) -> DataFrame:
     """Each dequeue that got something, with the enqueue that it took: the k-th success takes the k-th item since a CLEAR.
 
-    op is ENQUEUE, DEQUEUE or CLEAR. A dequeue succeeds unless the queue is empty then; with s the running sum of +1 and
-    -1 since the last clear, failures so far are how far the running minimum of s is under zero.
+    op is ENQUEUE, DEQUEUE or CLEAR. A dequeue fails if the queue is empty then. With s the running sum of +1 and -1 since
+    the last CLEAR, failures so far are how far the least s is under zero, so a dequeue succeeds if it does not lower it.
     """
     by = list(partition)
-    whole = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("__era", F.sum(F.when(F.col(op) == "CLEAR", 1).otherwise(0)).over(whole))
-    era = Window.partitionBy(*by, "__era").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col(op) == "ENQUEUE", 1).when(F.col(op) == "DEQUEUE", -1).otherwise(0)
-    rows = rows.withColumn("__s", F.sum(step).over(era))
-    rows = rows.withColumn("__failed", F.greatest(F.lit(0), -F.min("__s").over(era)))
-    rows = rows.withColumn("__failed_before", F.coalesce(F.lag("__failed").over(Window.partitionBy(*by, "__era").orderBy(seq)), F.lit(0)))
-    rows = rows.withColumn("__ok", (F.col(op) == "DEQUEUE") & (F.col("__failed") == F.col("__failed_before")))
-    rows = rows.withColumn("__k", F.when(F.col(op) == "ENQUEUE", F.sum(F.when(F.col(op) == "ENQUEUE", 1).otherwise(0)).over(era)).when(F.col("__ok"), F.sum(F.col("__ok").cast("int")).over(era)))
+    rows = _queue(log, seq, op, by)
+    success = (F.col(op) == "DEQUEUE") & (F.col("__low") == F.col("__low_before"))
     keys = [*by, "__era", "__k"]
-    items = rows.where(F.col(op) == "ENQUEUE").select(*keys, F.col(seq).alias("enqueue_seq"))
-    taken = rows.where("__ok").select(*keys, F.col(seq).alias("dequeue_seq"))
+    # Dequeues so far are puts less s; less the failures, they are the successes.
+    taken = rows.where(success).withColumn("__k", F.col("__puts") - F.col("__net") + F.col("__low")).select(*keys, F.col(seq).alias("dequeue_seq"))
+    items = rows.where(F.col(op) == "ENQUEUE").withColumn("__k", F.col("__puts")).select(*keys, F.col(seq).alias("enqueue_seq"))
     return taken.join(items, keys).select(*by, "dequeue_seq", "enqueue_seq")
 
 
 def queue_size(log: DataFrame, seq: str, op: str, partition: Sequence[str] = ()) -> DataFrame:
     """The number of live items after every operation."""
-    by = list(partition)
-    whole = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("__era", F.sum(F.when(F.col(op) == "CLEAR", 1).otherwise(0)).over(whole))
-    era = Window.partitionBy(*by, "__era").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col(op) == "ENQUEUE", 1).when(F.col(op) == "DEQUEUE", -1).otherwise(0)
-    s = F.sum(step).over(era)
-    rows = rows.withColumn("__s", s)
-    size = F.col("__s") - F.least(F.lit(0), F.min("__s").over(era))
-    return rows.withColumn("size", size.cast("long")).drop("__era", "__s")
+    rows = _queue(log, seq, op, list(partition))
+    return rows.withColumn("size", (F.col("__net") - F.col("__low")).cast("long")).select(*log.columns, "size")
 
 
 def stream_positions(log: DataFrame, order: str, committed: Column, partition: Sequence[str] = ()) -> DataFrame:
-    """Committed values at dense positions from 1, in commit order. Without a partition, positions come from counts by block.
-
-    A single global window would put every row in one task: rows are ranged by the order, and a block's first position is
-    the running count of the blocks before it.
-    """
-    rows = log.where(committed)
-    if partition:
-        return rows.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(order)).cast("long"))
-    spark = log.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = [r[0] for r in rows.select(F.explode(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 1000))).collect()] if n > 1 else []
-    edges = F.array(*(F.lit(float(b)) for b in sorted(set(b for b in bounds if b is not None)))) if bounds else F.array().cast("array<double>")
-    blocked = rows.withColumn("__block", F.size(F.filter(edges, lambda e: e < F.col(order).cast("double"))))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    starts = blocked.groupBy("__block").agg(F.count("*").alias("__n")).select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = blocked.withColumn("__at", F.row_number().over(Window.partitionBy("__block").orderBy(order)))
-    return numbered.join(F.broadcast(starts), "__block").withColumn("position", F.col("__start") + F.col("__at")).drop("__block", "__at", "__start")
+    """Committed values at dense positions from 1, in commit order."""
+    return running_sum(log.where(committed), list(partition), order, F.lit(1), "position").withColumn("position", F.col("position").cast("long"))
 
 
 def stream_read(stream: DataFrame, position: int, limit: int) -> DataFrame:
@@ -128,8 +108,7 @@ def supply(entries: DataFrame) -> DataFrame:
 
 
 def running_balance(entries: DataFrame, order: str) -> DataFrame:
-    w = Window.partitionBy("ledger_account").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("balance", F.sum("delta").over(w))
+    return running_sum(entries, ["ledger_account"], order, F.col("delta"), "balance")
 
 
 def accept(log: DataFrame, order: str, account: str, delta: str) -> DataFrame:
@@ -154,6 +133,5 @@ def accept(log: DataFrame, order: str, account: str, delta: str) -> DataFrame:
 
 def reservations(pending: DataFrame, balance: DataFrame, order: str, account: str, amount: str) -> DataFrame:
     """Which pending debits a balance covers along with all debits before them; credits never conflict."""
-    w = Window.partitionBy(account).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    debits = pending.withColumn("outstanding", F.sum(F.greatest(F.lit(0), -F.col(amount))).over(w))
+    debits = running_sum(pending, [account], order, F.greatest(F.lit(0), -F.col(amount)), "outstanding")
     return debits.join(balance.select(account, F.col("balance").alias("available")), account, "left").withColumn("granted", (F.col(amount) >= 0) | (F.coalesce("available", F.lit(0)) >= F.col("outstanding")))

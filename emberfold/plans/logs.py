@@ -105,7 +105,8 @@ def ledger_supply(t):
 
 @query("ledger_running", f"SELECT account, event_id, CAST(SUM(delta) OVER (PARTITION BY account ORDER BY event_id, delta ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM {SQL_LEDGER}")
 def ledger_running(t):
-    entries = _ledger(t).withColumn("at", F.struct("event_id", "delta"))
+    # A transfer to oneself gives an event two entries: its debit comes first.
+    entries = _ledger(t).withColumn("at", F.col("event_id") * 2 + (F.col("delta") > 0).cast("int"))
     return L.running_balance(entries, "at").select(F.col("ledger_account").alias("account"), "event_id", "balance")
 
 

@@ -196,3 +196,20 @@ def test_windowed_counts(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS at, id % 2 AS k FROM range(120)")
     got = windowed_counts(rows, "at", "k").collect()
     assert sorted(r["n"] for r in got) == [30, 30, 30, 30]
+
+
+def test_running_values_over_blocks(spark):
+    from emberfold.operators.prefix import previous, running_sum
+
+    rng = random.Random(3)
+    rows = [(i, None if i % 11 == 0 else "hot" if rng.random() < 0.7 else rng.choice("ab"), rng.randrange(-3, 4)) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "at long, k string, v long")
+    got = {r["at"]: r for r in previous(running_sum(df, ["k"], "at", F.col("v"), "s", low="low", blocks=7), ["k"], "at", {"before": F.col("v")}, blocks=5).collect()}
+    state = {}
+    for at, k, v in sorted(rows):
+        s, low, last = state.get(k, (0, 0, None))
+        r = got[at]
+        assert (r["s"], r["low"], r["low_before"], r["before"]) == (s + v, min(low, s + v), low, last)
+        state[k] = (s + v, min(low, s + v), v)
+    assert len(got) == len(rows)

@@ -114,3 +114,9 @@ def generate_uuid(t):
 def geo_distance(t):
     p = G.point(F.col("embedding")[0], F.col("embedding")[1])
     return t.embeddings.select("vec_id", G.get_x(p).alias("x"), G.get_y(p).alias("y"), F.round(G.calc_distance(p, G.point(0.5, -0.25)), 10).alias("d"))
+
+
+@query("dt_time", "SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + CAST(second(ts) AS BIGINT)) * 1000000 AS t, ((hour(ts) * 3600 + minute(ts) * 60 + CAST(second(ts) AS BIGINT)) * 1000000 + 43200000000) % 86400000000 AS later FROM events")
+def dt_time(t):
+    rows = t.events.select("event_id", D.to_time(F.date_format("ts", "HH:mm:ss"), "%H:%M:%S").alias("t"))
+    return rows.select("event_id", "t", D.add_to_time("t", D.interval_literal("12", "HOUR")).alias("later"))

@@ -119,3 +119,39 @@ def resource_accept(t):
     cents = F.round(F.col("value") * 100).cast("bigint")
     rows = t.events.where(kind.isin("signup", "purchase")).select(F.col("user_id").alias("account"), "event_id", F.when(kind == "signup", cents).otherwise(-cents).alias("delta"))
     return L.accept(rows, "event_id", "account", "delta").select("account", "event_id", "accepted", "balance")
+
+
+@query("own_writes", "SELECT user_id, value FROM (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (SELECT user_id, value, event_type, event_id FROM events WHERE event_id <= 400 UNION ALL SELECT user_id, value + 1, event_type, event_id + 1000000 FROM events WHERE event_id > 400 AND event_id <= 500)) WHERE r = 1 AND event_type <> 'error'")
+def own_writes(t):
+    log = _log(t)
+    own = log.where("event_id > 400 AND event_id <= 500").withColumn("value", F.col("value") + 1).withColumn("event_id", F.col("event_id") + 1_000_000)
+    return L.kv_get(L.with_own_writes(log.where("event_id <= 400"), own), "user_id", "value", "event_id", _deleted())
+
+
+@query("queue_peek", f"""WITH {SQL_ERAS},
+befores AS (SELECT *, COALESCE(LAG(size) OVER (PARTITION BY q, era ORDER BY event_id), 0) AS before, MAX(era) OVER (PARTITION BY q) AS last_era FROM sizes),
+taken AS (SELECT q, COUNT(*) AS n FROM befores WHERE op = 'DEQUEUE' AND before > 0 AND era = last_era GROUP BY q),
+puts AS (SELECT q, event_id, row_number() OVER (PARTITION BY q ORDER BY event_id) AS k FROM befores WHERE op = 'ENQUEUE' AND era = last_era)
+SELECT q, MIN(event_id) AS head, COUNT(*) AS live FROM puts LEFT JOIN taken USING (q) WHERE k > COALESCE(n, 0) GROUP BY q""")
+def queue_peek(t):
+    log = _queue(t)
+    cleared = log.where("op = 'CLEAR'").groupBy("q").agg(F.max("event_id").alias("cleared"))
+    taken = L.queue_matches(log, "event_id", "op", ["q"]).select("q", F.col("enqueue_seq").alias("event_id"))
+    live = log.where("op = 'ENQUEUE'").join(taken, ["q", "event_id"], "left_anti").join(cleared, "q", "left").where("cleared IS NULL OR event_id > cleared")
+    return live.groupBy("q").agg(F.min("event_id").alias("head"), F.count("*").alias("live"))
+
+
+@query("resource_metadata", "SELECT user_id % 10 AS resource, arg_max(event_type, event_id) AS name, arg_max(value, event_id) FILTER (WHERE event_type = 'signup') AS last_signup FROM events GROUP BY 1")
+def resource_metadata(t):
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return t.events.groupBy((F.col("user_id") % 10).alias("resource")).agg(F.max_by("event_type", "event_id").alias("name"), F.max_by("value", signup).alias("last_signup"))
+
+
+@query("resource_reservations", f"""WITH pending AS (SELECT user_id AS account, event_id, -{SQL_CENTS} AS amount FROM events WHERE event_type = 'purchase'),
+balances AS (SELECT user_id AS account, SUM({SQL_CENTS}) AS balance FROM events WHERE event_type = 'signup' GROUP BY user_id)
+SELECT account, event_id, COALESCE(balance, 0) >= SUM(-amount) OVER (PARTITION BY account ORDER BY event_id) AS granted FROM pending LEFT JOIN balances USING (account)""")
+def resource_reservations(t):
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    pending = t.events.where("event_type = 'purchase'").select(F.col("user_id").alias("account"), "event_id", (-cents).alias("amount"))
+    balance = t.events.where("event_type = 'signup'").groupBy(F.col("user_id").alias("account")).agg(F.sum(cents).alias("balance"))
+    return L.reservations(pending, balance, "event_id", "account", "amount").select("account", "event_id", "granted")

@@ -76,3 +76,68 @@ def dialect_select(t):
 @query("semi_join", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 def semi_join(t):
     return R.semi(t.nation, t.region.where("r_name LIKE 'A%'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name")
+
+
+@query("nothing", "SELECT r_regionkey, r_name FROM region WHERE FALSE")
+def nothing(t):
+    return S.nothing(t.spark, "r_regionkey int, r_name string")
+
+
+@query("dml_insert_defaults", "SELECT * FROM region UNION ALL SELECT CAST(NULL AS INTEGER), 'unnamed'")
+def dml_insert_defaults(t):
+    return W.insert_defaults(t.region, {"r_name": "unnamed"})
+
+
+@query("dml_delete_set_default", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 0 ELSE n_regionkey END AS n_regionkey FROM nation")
+def dml_delete_set_default(t):
+    tables = {"region": t.region, "nation": t.nation.select("n_nationkey", "n_regionkey")}
+    key = W.ForeignKey("nation", "n_regionkey", "region", "r_regionkey", "SET DEFAULT")
+    return W.delete_with_keys(tables, "region", F.col("r_regionkey") == 2, [key], {"nation.n_regionkey": 0})["nation"]
+
+
+def _dialect(t, text, *names):
+    from ..session import Session
+
+    session = Session(t.spark)
+    session.load_tables(t.folder, names)
+    return session.sql(text)
+
+
+@query("dialect_values", "SELECT * FROM (VALUES (CAST(2 AS INTEGER), 'b'), (3, 'c')) AS v(column1, column2)")
+def dialect_values(t):
+    return _dialect(t, "VALUES (1, 'a'), (3, 'c'), (2, 'b') ORDER BY column1 DESC LIMIT 2")
+
+
+@query("dialect_unnest", "SELECT p_partkey, UNNEST(string_split(p_name, ' ')) AS word FROM part WHERE p_size > 40")
+def dialect_unnest(t):
+    t.part.selectExpr("p_partkey", "p_size", "split(p_name, ' ') AS words").createOrReplaceTempView("__part_words")
+    return _dialect(t, "SELECT p.p_partkey, w.word FROM __part_words p JOIN UNNEST(p.words) AS w(word) WHERE p.p_size > 40")
+
+
+@query("dialect_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC NULLS FIRST, o_orderkey")
+def dialect_distinct_on(t):
+    return _dialect(t, "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "orders")
+
+
+@query("dialect_functions", """SELECT p_partkey, substring(p_name, 1, 3) AS head, p_name || '/' || p_brand AS both, CAST(p_size // 4 AS BIGINT) AS quarter, p_size BETWEEN 5 AND 20 AS mid,
+CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS kind, xor(p_size, 3) AS bits, COALESCE(NULLIF(p_size, 7), -1) AS filled FROM part WHERE p_type ILIKE '%steel%' OR p_size IN (1, 2, 3)""")
+def dialect_functions(t):
+    return _dialect(t, """SELECT p_partkey, SUBSTR(p_name, 0, 3) AS head, p_name || '/' || p_brand AS both, CAST(p_size / 4 AS BIGINT) AS quarter, p_size BETWEEN 5 AND 20 AS mid,
+        CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS kind, p_size ^ 3 AS bits, COALESCE(NULLIF(p_size, 7), -1) AS filled FROM part WHERE p_type ILIKE '%steel%' OR p_size IN (1, 2, 3)""", "part")
+
+
+@query("dialect_subqueries", """SELECT n_name, (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation
+WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""")
+def dialect_subqueries(t):
+    return _dialect(t, """SELECT n_name, (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation
+        WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""", "nation", "customer", "region", "supplier")
+
+
+@query("dialect_outer_joins", """SELECT n_name, r_name FROM nation FULL JOIN (SELECT * FROM region WHERE r_regionkey > 2) r ON n_regionkey = r_regionkey AND n_nationkey > 10""")
+def dialect_outer_joins(t):
+    return _dialect(t, "SELECT n_name, r.r_name FROM nation FULL JOIN (SELECT * FROM region WHERE r_regionkey > 2) AS r ON n_regionkey = r.r_regionkey AND n_nationkey > 10", "nation", "region")
+
+
+@query("dialect_aggregates", """SELECT l_returnflag, COUNT(DISTINCT l_linenumber) AS n, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS mean, ROUND(STDDEV_SAMP(l_quantity), 8) AS s, MIN(l_shipdate) AS first FROM lineitem GROUP BY l_returnflag HAVING COUNT(*) > 10""")
+def dialect_aggregates(t):
+    return _dialect(t, "SELECT l_returnflag, COUNT(DISTINCT l_linenumber) AS n, SUM(l_linenumber) / COUNT(*) AS mean, ROUND(STDEV(l_quantity), 8) AS s, MIN(l_shipdate) AS first FROM lineitem GROUP BY l_returnflag HAVING COUNT(*) > 10", "lineitem")

@@ -38,7 +38,7 @@ from .common import with_computed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Stretches kept in a cache, twice: the newer ones, and those of the last time it was full.
-CACHE = 900_000
+CACHE = 600_000
 LONGEST_CACHED = 64
 NO_LIMIT = 1 << 40
 # Latin letters, which are single code points in NFC and whose case every Unicode version has alike, then ASCII marks.

@@ -50,8 +50,8 @@ def _queue(log: DataFrame, seq: str, op: str, by: list[str]) -> DataFrame:
     """Adds __era, the number of CLEARs so far; in it __net, enqueues less dequeues, its least value, and __puts."""
     kind = F.col(op)
     rows = running_sum(with_blocks(log, seq), by, seq, F.when(kind == "CLEAR", 1).otherwise(0), "__era")
-    rows = running_sum(rows, [*by, "__era"], seq, F.when(kind == "ENQUEUE", 1).otherwise(0), "__puts")
-    return running_sum(rows, [*by, "__era"], seq, F.when(kind == "ENQUEUE", 1).when(kind == "DEQUEUE", -1).otherwise(0), "__net", low="__low")
+    put = F.when(kind == "ENQUEUE", 1)
+    return running_sum(rows, [*by, "__era"], seq, put.when(kind == "DEQUEUE", -1).otherwise(0), "__net", low="__low", __puts=put.otherwise(0))
 
 
 def queue_matches(log: DataFrame, seq: str, op: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -62,12 +62,13 @@ def queue_matches(log: DataFrame, seq: str, op: str, partition: Sequence[str] =
     """
     by = list(partition)
     rows = _queue(log, seq, op, by)
+    put = F.col(op) == "ENQUEUE"
     success = (F.col(op) == "DEQUEUE") & (F.col("__low") == F.col("__low_before"))
-    keys = [*by, "__era", "__k"]
-    # Dequeues so far are puts less s; less the failures, they are the successes.
-    taken = rows.where(success).withColumn("__k", F.col("__puts") - F.col("__net") + F.col("__low")).select(*keys, F.col(seq).alias("dequeue_seq"))
-    items = rows.where(F.col(op) == "ENQUEUE").withColumn("__k", F.col("__puts")).select(*keys, F.col(seq).alias("enqueue_seq"))
-    return taken.join(items, keys).select(*by, "dequeue_seq", "enqueue_seq")
+    # Dequeues so far are puts less net; less the failures, they are the successes.
+    k = F.when(put, F.col("__puts")).when(success, F.col("__puts") - F.col("__net") + F.col("__low"))
+    ends = F.max(F.when(~put, F.col(seq))).alias("dequeue_seq"), F.max(F.when(put, F.col(seq))).alias("enqueue_seq")
+    pairs = rows.withColumn("__k", k).where("__k IS NOT NULL").groupBy(*by, "__era", "__k").agg(*ends)
+    return pairs.where("dequeue_seq IS NOT NULL AND enqueue_seq IS NOT NULL").select(*by, "dequeue_seq", "enqueue_seq")
 
 
 def queue_size(log: DataFrame, seq: str, op: str, partition: Sequence[str] = ()) -> DataFrame:

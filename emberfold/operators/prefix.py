@@ -41,24 +41,30 @@ def _join(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(renamed, on).drop(*(f"__k{i}" for i in range(len(keys) + 1)))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, step: Column, name: str, low: str | None = None, blocks: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, step: Column, name: str, low: str | None = None, blocks: int | None = None, **also: Column) -> DataFrame:
     """Add the sum of `step` up to each row, and with `low` its least value so far, and before the row as `low`_before.
 
-    Both count an empty start as 0. Rows of one key with equal places in the order are in any order.
+    All count an empty start as 0. `also` names further columns to sum along. Rows of one key with equal places in the order
+    are in any order.
     """
-    rows = with_blocks(df, order, blocks).withColumn("__one", step)
+    steps = {name: step, **also}
+    rows = with_blocks(df, order, blocks).withColumns({f"__one_{n}": c for n, c in steps.items()})
     upto = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__local", F.sum("__one").over(upto))
+    rows = rows.withColumns({f"__in_{n}": F.sum(f"__one_{n}").over(upto) for n in steps})
     between = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    zero = F.lit(0)
-    carried = _handed_on(rows, keys, __total=F.sum("__one"), __least=F.min("__local")).withColumn("__start", F.coalesce(F.sum("__total").over(between), zero))
-    carried = carried.withColumn("__floor", F.least(zero, F.coalesce(F.min(F.col("__start") + F.col("__least")).over(between), zero)))
-    rows = _join(rows, carried.drop("__total", "__least"), keys)
+    zero, local = F.lit(0), f"__in_{name}"
+    totals = {f"__total_{n}": F.sum(f"__one_{n}") for n in steps}
+    carried = _handed_on(rows, keys, __least=F.min(local), **totals).withColumns({f"__start_{n}": F.coalesce(F.sum(f"__total_{n}").over(between), zero) for n in steps})
+    start = F.col(f"__start_{name}")
+    carried = carried.withColumn("__floor", F.least(zero, F.coalesce(F.min(start + F.col("__least")).over(between), zero)))
+    rows = _join(rows, carried.drop("__least", *totals), keys)
     if low:
         before = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn(low, F.least("__floor", F.col("__start") + F.min("__local").over(upto)))
-        rows = rows.withColumn(f"{low}_before", F.least("__floor", F.coalesce(F.col("__start") + F.min("__local").over(before), F.col("__floor"))))
-    return rows.withColumn(name, F.col("__start") + F.col("__local")).drop("__local", "__one", "__start", "__floor", *({BLOCK} - set(df.columns)))
+        rows = rows.withColumn(low, F.least("__floor", start + F.min(local).over(upto)))
+        rows = rows.withColumn(f"{low}_before", F.least("__floor", F.coalesce(start + F.min(local).over(before), F.col("__floor"))))
+    rows = rows.withColumns({n: F.col(f"__start_{n}") + F.col(f"__in_{n}") for n in steps})
+    made = [f"__{part}_{n}" for n in steps for part in ("one", "in", "start")]
+    return rows.drop(*made, "__floor", *({BLOCK} - set(df.columns)))
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], blocks: int | None = None) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; a temporary folder only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if path:
+        if kept.isEmpty():
+            spark.sparkContext.setCheckpointDir(path)
         return path.rstrip("/")
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='emberfold-')}")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()

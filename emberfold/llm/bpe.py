@@ -106,7 +106,6 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.piece = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.byte_text = {b: c for b, c in letters.items()}
         # A symbol is a byte, or 256 + a byte that ends a word; a token is a string of symbols, shifted past NUL.
         ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
         rank = {}

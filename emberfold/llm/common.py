@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,17 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space of the word rule, and a word: fixed by the contracts.
-SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
-
-word_pattern = re.compile(WORD)
-_UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+from ..sources.shared import scratch, shared_dir
 
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only, whatever the locale and whatever else is in the text."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+#: White space of the word rule: fixed by the contracts.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -42,35 +33,12 @@ def bucket_of(key: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if kept.isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='emberfold-')}")
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return kept.get().rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: one evaluation, and a lineage that survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,6 @@ import json
 import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -38,11 +39,12 @@ from .common import with_computed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Stretches kept in a cache, twice: the newer ones, and those of the last time it was full.
-CACHE = 600_000
+CACHE = 800_000
 LONGEST_CACHED = 64
 NO_LIMIT = 1 << 40
-# Latin letters, which are single code points in NFC and whose case every Unicode version has alike, then ASCII marks.
-_word_and_marks = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)")
+# Latin letters: single code points in NFC, whose case every Unicode version has alike.
+_latin = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+MARKS = string.punctuation.encode()
 
 
 class Cache:
@@ -56,14 +58,18 @@ class Cache:
         self.make, self.size, self.new, self.old = make, size, {}, {}
 
     def _made(self, key: bytes) -> bytes:
-        text = key.decode()
-        if parts := _word_and_marks.fullmatch(text):
-            word, marks = parts[1].lower(), parts[2]
-            if marks:
-                return self[word.encode()] + self[marks.encode()]
-            if word != text:
-                return self[word.encode()]
-        return self.make(text)
+        if key.isalpha():  # ASCII letters
+            return self.make(key.decode())
+        word = key.rstrip(MARKS)
+        if word.isalpha():
+            return self[word] + self[key[len(word) :]]
+        if not key.isascii() and _latin.fullmatch(text := word.decode()):
+            lowered = text.lower().encode()
+            if len(word) < len(key):
+                return self[lowered] + self[key[len(word) :]]
+            if lowered != key:
+                return self[lowered]
+        return self.make(key.decode())
 
     def __getitem__(self, key: bytes) -> bytes:
         value = self.new.get(key)
@@ -73,19 +79,27 @@ class Cache:
         value = self.old.get(key)
         if value is None:
             value = self._made(key)
-        if len(key) <= LONGEST_CACHED:
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
+        self.put(key, value)
         return value
 
-    def join(self, keys: list[bytes]) -> bytes:
-        """The values of all keys, one after the other."""
+    def of_text(self, text: str | bytes) -> bytes:
+        """The values of all stretches of a text, one after the other.
+
+        A-Z are lowered at once, which the library would do stretch by stretch, unless a special token might be spelled.
+        """
+        data = text.encode() if isinstance(text, str) else text
+        keys = (data if b"<|" in data else data.lower()).split()
         found = list(map(self.new.get, keys))
         if None in found:
             found = [self.missing(k) if v is None else v for k, v in zip(keys, found)]
         return b"".join(found)
 
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(key) <= LONGEST_CACHED:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if it prints in Latin-1, else one from U+0100 on."""
@@ -216,7 +230,7 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.cache.join(text.encode().split())
+        return self.cache.of_text(text)
 
     def decode(self, ids: bytes) -> bytes:
         """The text in UTF-8."""

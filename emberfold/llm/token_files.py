@@ -61,10 +61,12 @@ class LibraryEncoder:
         self.cache = Cache(self._encode)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        return self.cache.join(text.encode().split()) if self.by_stretch else self._encode(text)
+    def encode(self, text: bytes) -> bytes:
+        """text: in UTF-8."""
+        return self.cache.of_text(text) if self.by_stretch else self._encode(text.decode())
 
 
 @lru_cache(maxsize=2)
@@ -186,7 +188,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         encoder, end, writer, sink = library_encoder(path), struct.pack("<I", end_id), None, None
         fs, base = _open(folder)
         for batch in batches:
-            for part, k, t in zip(batch["part"], batch["key"], batch["text"]):
+            for part, k, t in zip(batch["part"], batch["key"], batch["text"].cast(pa.binary())):
                 if writer is None:
                     name, own = f"{base}/part-{part.as_py():06d}.eft", f"{base}/.{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(own)

@@ -41,7 +41,7 @@ from .common import whole_text
 ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.85, 12, 6
 ALPHABET = 40
 #: The sample that trains: rows of each class, by seeded hash, of texts up to so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 6_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 500, 700, 4_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 160, 40, 0.8
 ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 250_000, 1_500_000
 #: Words of a document that its score reads, windows of a bag that stand for it or may be landmarks, and the values that count.
@@ -209,7 +209,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
         bags.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], dtype=np.int64))
     rows, lengths, word = windows(list(vocabulary))
     row, code, value = subsequences_of_many(rows, lengths)
-    n_codes, n_rows = ALPHABET**ORDER, len(rows)
+    n_codes = ALPHABET**ORDER
     ends = np.searchsorted(row, np.arange(len(rows) + 1))
     first_window = np.searchsorted(word, np.arange(len(vocabulary) + 1))
 
@@ -227,7 +227,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     odds = np.where(seen[1] >= min(3, n_toxic), odds, 0.0)
 
     def decided(weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(n_rows)
+        out = np.zeros(len(rows))
         for i in range(0, len(row), 500_000):
             some = slice(i, i + 500_000)
             np.add.at(out, row[some], value[some] * weights[code[some]])
@@ -236,14 +236,17 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     def strongest(values: np.ndarray, of: list[np.ndarray], k: int) -> np.ndarray:
         return np.concatenate([b[np.argsort(-values[b])[:k]] for b in of] or [np.zeros(0, np.int64)])
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out, dense = np.zeros((len(a), len(b))), np.zeros(n_codes)
-        inside = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in a]) if len(a) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(a)), ends[a + 1] - ends[a])
+    def kernel(a: np.ndarray, b: np.ndarray, of: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Of windows a, the vocabulary's or those of other subsequences, and the vocabulary's windows b."""
+        codes, values, bounds = of or (code, value, ends)
+        out, dense = np.zeros((len(a), len(b))), np.zeros(n_codes, dtype=np.float32)
+        inside = np.concatenate([np.arange(bounds[w], bounds[w + 1]) for w in a]) if len(a) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(a)), bounds[a + 1] - bounds[a])
+        inner_codes, inner_values = codes[inside], values[inside]
         for j, w in enumerate(b):
             own = slice(ends[w], ends[w + 1])
             dense[code[own]] = value[own]
-            out[:, j] = np.bincount(owner, weights=value[inside] * dense[code[inside]], minlength=len(a))
+            out[:, j] = np.bincount(owner, weights=inner_values * dense[inner_codes], minlength=len(a))
             dense[code[own]] = 0
         return out
 
@@ -266,10 +269,8 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     # Landmarks of toxic sentences with a letter put in somewhere, as positive windows of their own.
     altered = [_with_a_letter(rows[w][: lengths[w]], rng) for w in candidates[chosen] for _ in range(VARIANTS)]
     extra_rows, extra_lengths = np.array([np.pad(x, (0, WINDOW - len(x))) for x in altered]).reshape(-1, WINDOW), np.array([len(x) for x in altered], dtype=np.int64)
-    more_row, more_code, more_value = subsequences_of_many(extra_rows, extra_lengths)
-    extra, n_rows = np.arange(len(altered)) + len(rows), len(rows) + len(altered)
-    row, code, value = np.concatenate([row, more_row + np.int32(len(rows))]), np.concatenate([code, more_code]), np.concatenate([value, more_value])
-    ends = np.searchsorted(row, np.arange(n_rows + 1))
+    extra_row, extra_code, extra_value = subsequences_of_many(extra_rows, extra_lengths)
+    extra = kernel(np.arange(len(altered)), landmarks, (extra_code, extra_value, np.searchsorted(extra_row, np.arange(len(altered) + 1))))
     root_values, root = np.linalg.eigh(kernel(landmarks, landmarks))
     keep = root_values > 1e-6
     whiten = root[:, keep] / np.sqrt(root_values[keep])
@@ -281,15 +282,16 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
         negatives = np.concatenate([negatives, strongest(values, good, 2)])
         if not len(positives):
             return float(toxic.mean())
-        at, y = np.concatenate([positives, extra, negatives]), np.repeat([1.0, -1.0], [len(positives) + len(extra), len(negatives)])
+        x = np.concatenate([kernel(positives, landmarks), extra, kernel(negatives, landmarks)])
+        y = np.repeat([1.0, -1.0], [len(positives) + len(extra), len(negatives)])
         cost = np.repeat([1.0 / len(positives), VARIANT_COST / max(1, len(extra)), 1.0 / len(negatives)], [len(positives), len(extra), len(negatives)])
-        w = _machine(kernel(at, landmarks) @ whiten, y, cost)
+        w = _machine(x @ whiten, y, cost)
         pull, bias = whiten @ w[:-1], float(w[-1])
         weights = np.zeros(n_codes)
         for z, a in zip(landmarks, pull):
             weights[code[ends[z] : ends[z + 1]]] += a * value[ends[z] : ends[z + 1]]
     per_word = np.full(len(vocabulary), -np.inf)
-    np.maximum.at(per_word, word, decided(weights)[: len(word)] + bias)
+    np.maximum.at(per_word, word, decided(weights) + bias)
     share = toxic.mean() if toxic_share is None else toxic_share
     cost = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     pooling = _logistic(pooled([per_word[b] for b in spoken]), toxic.astype(float), cost)

@@ -39,7 +39,7 @@ from .common import with_computed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Stretches kept in a cache, twice: the newer ones, and those of the last time it was full.
-CACHE = 800_000
+CACHE = 200_000
 LONGEST_CACHED = 64
 NO_LIMIT = 1 << 40
 # Latin letters: single code points in NFC, whose case every Unicode version has alike.

@@ -39,6 +39,8 @@ from .bpe import VOCABULARY, Cache
 from .common import scratch, shuffle_width, whole_text
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"EFT1", 4096, 98, 1
+#: The library is slow on single words, so more of them are kept than for the encoder of `bpe`.
+LIBRARY_CACHE = 800_000
 _HEAD = struct.Struct("<IHBxHxx")
 _TAIL = struct.Struct("<QQQ")
 
@@ -58,7 +60,7 @@ class LibraryEncoder:
             spec = json.load(f)
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_stretch = any(p["type"] == "Split" and p.get("invert") and p["behavior"] == "Removed" for p in parts)
-        self.cache = Cache(self._encode)
+        self.cache = Cache(self._encode, LIBRARY_CACHE)
 
     def _encode(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids

@@ -25,7 +25,7 @@ import string
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -112,9 +112,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.library = spec["model"], tokenizers.Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        model, self.path = spec["model"], path
         end, letters = model["end_of_word_suffix"], _byte_letters()
         self.byte_of = {c: b for b, c in letters.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -157,6 +155,11 @@ class WordBpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])]).astype(np.int64)
         self.buffer = np.frombuffer(b"".join(spelled), dtype=np.uint8)
 
+    @cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        """Loaded where a text has letters that need its normaliser."""
+        return tokenizers.Tokenizer.from_file(self.path)
+
     @staticmethod
     def spell(symbols: list[int]) -> str:
         return "".join(chr(s + 1) for s in symbols)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -57,6 +59,14 @@ def ship(spark: SparkSession) -> None:
     context._emberfold_shipped = True
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker process is kept between tasks, and should hold no more than it uses."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 #: Texts that `with_computed` hands over at a time, so that what is computed from them stays small.
 SLICE_BYTES = 2_000_000
 
@@ -77,6 +87,7 @@ def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list
                 part = batch.slice(first, len(some))
                 yield pa.RecordBatch.from_arrays([*part.columns[:texts_at], compute(some)], names=schema.names)
                 first += len(some)
+        release_memory()
 
     return docs.select("*", whole_text(text).alias("__ef_text")).mapInArrow(run, schema)
 

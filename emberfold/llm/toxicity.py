@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import release_memory, whole_text
 
 ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.85, 12, 6
 ALPHABET = 40
@@ -339,5 +339,7 @@ def score(docs: DataFrame, machine: Machine | float, text: str | Column = "text"
                     worst.append(words[int(v.argmax())] if len(v) else None)
                     strongest.append(v if len(v) <= STRONGEST else np.partition(v, len(v) - STRONGEST))
             yield pa.StructArray.from_arrays([pa.array(machine.scores(strongest)), pa.array(worst, pa.string())], ["score", "worst"])
+        known.clear()
+        release_memory()
 
     return docs.withColumn("__ef_toxic", of(whole_text(text)))

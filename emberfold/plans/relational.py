@@ -334,6 +334,21 @@ def order_ordinal(t):
     return R.limit_offset(R.order_by(t.orders.select("o_custkey", "o_orderkey"), (1, "DESC"), 2), 30)
 
 
+@query("order_nulls_asc_whole", "SELECT o_orderkey, s FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s FROM orders) ORDER BY s ASC NULLS LAST, o_orderkey")
+def order_nulls_asc_whole(t):
+    return R.order_by(t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s")), "s", "o_orderkey")
+
+
+@query("order_nulls_desc_whole", "SELECT o_orderkey, s FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s FROM orders) ORDER BY s DESC NULLS FIRST, o_orderkey")
+def order_nulls_desc_whole(t):
+    return R.order_by(t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s")), ("s", "DESC"), "o_orderkey")
+
+
+@query("order_ordinal_whole", "SELECT o_custkey, o_orderkey FROM orders ORDER BY 1 DESC, 2")
+def order_ordinal_whole(t):
+    return R.order_by(t.orders.select("o_custkey", "o_orderkey"), (1, "DESC"), 2)
+
+
 @query("order_by_aggregate", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, o_custkey LIMIT 20")
 def order_by_aggregate(t):
     return R.limit_offset(R.order_by(t.orders.groupBy("o_custkey").agg(A.count().alias("n")), ("n", "DESC"), "o_custkey"), 20).select("o_custkey")

@@ -253,8 +253,8 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_and_decode(docs: DataFrame, text: str | Column = "text", path: str | None = None) -> DataFrame:
-    """Add the column __ef_bpe, struct<ids binary, decoded string>."""
+def encode_and_decode(docs: DataFrame, text: str | Column = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Add the column __ef_bpe, struct<ids binary, decoded string>, to the columns to keep (all by default)."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def both(texts: list[str]) -> pa.Array:
@@ -262,4 +262,4 @@ def encode_and_decode(docs: DataFrame, text: str | Column = "text", path: str |
         ids = [bpe.encode(t) for t in texts]
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([bpe.decode(i).decode("utf-8", "replace") for i in ids], pa.string())], ["ids", "decoded"])
 
-    return with_computed(docs, "__ef_bpe", "struct<ids:binary,decoded:string>", both, text)
+    return with_computed(docs, "__ef_bpe", "struct<ids:binary,decoded:string>", both, text, keep)

@@ -45,8 +45,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4_000_000
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for a context, however the session was started."""
+    """Give the executors' Python this package, once for a context, however the session was started.
+
+    Batches to and from Python are bounded by their bytes, unless the session asks for less: whole texts may be long.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_emberfold_shipped", False):
         return
@@ -67,29 +77,46 @@ def release_memory() -> None:
         trim(0)
 
 
-#: Texts that `with_computed` hands over at a time, so that what is computed from them stays small.
-SLICE_BYTES = 2_000_000
+#: Bytes of texts that `with_computed` hands over at a time, so that what is computed from them stays small.
+SLICE_BYTES = 1_000_000
+
+
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of a column's texts, '' for null, up to so many bytes each (one text at least), with the place of the first."""
+    first, some, size = 0, [], 0
+    for place, text in enumerate(texts):
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= most:
+            yield first, some
+            first, some, size = place + 1, [], 0
+    if some:
+        yield first, some
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
+def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list[str]], pa.Array], text: str | Column = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add a column that Python computes from whole texts, some of them at a time by their bytes rather than by rows.
 
-def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list[str]], pa.Array], text: str | Column = "text") -> DataFrame:
-    """Add a column that Python computes from whole texts, some of them at a time by their bytes rather than by rows."""
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
-    texts_at = len(docs.columns)
+    keep: the columns to return beside it, all by default. Only they and the text go to Python, each once.
+    """
+    kept = docs.columns if keep is None else keep
+    beside = isinstance(text, str) and text in kept
+    sent = [quoted(c) for c in kept] + ([] if beside else [(F.col(text) if isinstance(text, str) else text).alias("__ef_text")])
+    slim = docs.select(*sent)
+    schema = T.StructType([*slim.schema.fields[: len(kept)], *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+    text_at, n = kept.index(text) if beside else len(kept), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, first = batch.column(texts_at), 0
-            while first < batch.num_rows:
-                some, size = [], 0
-                while first + len(some) < batch.num_rows and size < SLICE_BYTES:
-                    some.append(texts[first + len(some)].as_py())
-                    size += len(some[-1])
-                part = batch.slice(first, len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns[:texts_at], compute(some)], names=schema.names)
-                first += len(some)
+            for first, some in by_bytes(batch.column(text_at), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(some)).columns[:n], compute(some)], names=schema.names)
         release_memory()
 
-    return docs.select("*", whole_text(text).alias("__ef_text")).mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

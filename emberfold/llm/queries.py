@@ -14,10 +14,9 @@ from .quality_sql import quality_sql
 
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ctw.split_by_key(documents(spark, sf_dir))
-    model = ctw.fit(docs)
+    scored, totals = ctw.score(ctw.split_by_key(documents(spark, sf_dir)))
     bits_per_byte = -F.col("score") / F.col("n_bytes") / F.log10(F.lit(2.0))
-    return ctw.score(docs, model).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits_per_byte.alias("bits_per_byte"))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(totals.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits_per_byte.alias("bits_per_byte"))
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +41,14 @@ def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = documents(spark, sf_dir, "labels").select("doc_id", "toxic").where(bucket_of("doc_id", 3) != 1)
-    machine = toxicity.train(*toxicity.sample(docs.join(labels, "doc_id")))
+    labels = documents(spark, sf_dir, "labels").where(bucket_of("doc_id", 3) != 1)
+    machine = toxicity.fit(docs, labels)
     scored, score = toxicity.score(docs, machine), F.col("__ef_toxic.score")
     return scored.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.col("__ef_toxic.worst").alias("worst_word"))
 
 
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"))
+    done = bpe.encode_and_decode(documents(spark, sf_dir), keep=["doc_id"])
     ids, decoded = F.col("__ef_bpe.ids"), F.col("__ef_bpe.decoded")
     return done.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"))
 

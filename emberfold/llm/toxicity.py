@@ -5,7 +5,9 @@ mark, and are read in windows of `WINDOW` symbols; runs of single letters are re
 windows counts their common subsequences of `ORDER` symbols within a span of `SPAN`, each weighted by `DECAY` for every
 gap in either, and is normalised; so characters that are inserted or left apart lower it only a little.
 
-Training takes a bounded sample of labelled documents, cut into sentences. A toxic document is a bag of which some
+Training takes a bounded sample of labelled documents, whole and cut into sentences: rows in the order of a seeded hash,
+whatever their length, up to a number of rows and of bytes for each class. It is chosen from slim rows, and one executor
+task trains on its texts; the driver sees the machine only. A toxic document is a bag of which some
 sentences are toxic: its strongest windows stand for them. Landmarks are strong windows of toxic sentences, unlike one
 another, and some of clean ones; toxic ones with a letter put in somewhere train as well. Windows become kernel values at the landmarks times the inverse
 root of the landmarks' kernel matrix, and a linear machine with squared hinge loss is trained on them in rounds, each
@@ -17,33 +19,38 @@ number of words, as one strong word in a long text may be chance. It is fitted o
 shares of all labelled rows. Every word of every text is scored, by itself, so a text's length bounds nothing but time.
 Words' values are kept in a cache of bounded size.
 
-Defined results: a null or empty text, and one without letters, has no word
-and gets the score of the least values.
-Repeated rows train as often as the sample holds them. Without toxic or without clean training rows the score is the
-share of toxic ones, or zero without any; so
-it is where no window tells them apart. An empty table gives no rows.
+Defined results: a null or empty text, and one without letters, has no word and gets the score of the least values. A
+word of any length is scored window by window. Rows of one key and text train once, however often they are repeated, but
+all count for the classes' shares. Without toxic or without clean training rows the score is the share of toxic ones, or
+zero without any; so it is where no window tells them apart. Rows with a null key or label train nothing. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import release_memory, whole_text
+from .common import by_bytes, cut, release_memory, whole_text
 
 ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.85, 12, 6
 ALPHABET = 40
-#: The sample that trains: rows of each class, by seeded hash, of texts up to so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 500, 700, 4_000
+#: The sample that trains: rows of each class, by seeded hash, and bytes of each; the row that passes these is its last.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 500, 700, 2_000_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, ALIKE = 160, 40, 0.8
-ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 250_000, 1_500_000
+ROUNDS, PENALTY, SEED, CACHE_WORDS, BATCH_BYTES = 5, 3e-4, 20, 200_000, 1_000_000
+#: Windows that are turned into subsequences at a time, and letters of words that are cut into windows at a time.
+AT_ONCE, LETTERS = 4_000, 40_000
 #: Words of a document that its score reads, windows of a bag that stand for it or may be landmarks, and the values that count.
 STRONGEST, WITNESSES, CANDIDATES, LEAST, MOST = 5, 5, 12, -1.1, 1.3
 #: How much more often toxic documents must hold a window than clean ones for it to stand for them.
@@ -86,17 +93,33 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+class Windows:
+    """The windows of some words, cut out as they are asked for: a long word has many."""
+
+    def __init__(self, words: list[str]):
+        joined = "\n" + "\n".join(w.replace("\n", "") for w in words) if words else ""
+        self.flat = np.frombuffer(joined.translate(_folding).encode("latin-1"), dtype=np.uint8)
+        self.start = np.flatnonzero(self.flat == 0)
+        self.size = np.diff(np.append(self.start, len(self.flat)))
+        self.ends = np.cumsum(np.maximum(1, -(-(self.size - WINDOW) // STRIDE) + 1))
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def cut(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of symbols, their lengths, and which word each row is of."""
+        at = np.arange(first, min(last, len(self)))
+        word = np.searchsorted(self.ends, at, "right")
+        within = (at - np.concatenate([[0], self.ends])[word]) * STRIDE
+        places = self.start[word][:, None] + within[:, None] + np.arange(WINDOW)
+        return self.flat[np.minimum(places, max(0, len(self.flat) - 1))], np.minimum(WINDOW, self.size[word] - within), word
+
+
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of symbols, their lengths, and which word each row is of."""
-    flat = np.frombuffer(("\n" + "\n".join(w.replace("\n", "") for w in words)).translate(_folding).encode("latin-1"), dtype=np.uint8) if words else np.zeros(0, np.uint8)
-    start = np.flatnonzero(flat == 0)
-    size = np.diff(np.append(start, len(flat)))
-    count = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
-    word = np.repeat(np.arange(len(words)), count)
-    within = (np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    length = np.minimum(WINDOW, size[word] - within)
-    at = start[word][:, None] + within[:, None] + np.arange(WINDOW)
-    return flat[np.minimum(at, max(0, len(flat) - 1))], length, word
+    """Rows of symbols, their lengths, and which word each row is of, for all windows."""
+    every = Windows(words)
+    parts = [every.cut(i, i + AT_ONCE) for i in range(0, max(1, len(every)), AT_ONCE)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def subsequences(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +156,7 @@ def pooled(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def subsequences_of_many(rows: np.ndarray, lengths: np.ndarray, at_once: int = 5_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subsequences_of_many(rows: np.ndarray, lengths: np.ndarray, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same in narrow types, computed some rows at a time."""
     parts = []
     for i in range(0, len(rows), at_once):
@@ -144,23 +167,36 @@ def subsequences_of_many(rows: np.ndarray, lengths: np.ndarray, at_once: int = 5
 
 @dataclass(frozen=True)
 class Machine:
-    #: Weight of each subsequence, the bias, and what the logistic function gives to each of the pooled values.
+    #: Subsequences that have a weight, their weights, the bias, and what the logistic function gives to each of the pooled values.
+    codes: np.ndarray
     weights: np.ndarray
     bias: float
     pooling: np.ndarray
 
+    @cached_property
+    def weight_of(self) -> np.ndarray:
+        out = np.zeros(ALPHABET**ORDER, dtype=np.float32)
+        out[self.codes] = self.weights
+        return out
+
     def values(self, words: list[str]) -> np.ndarray:
         """Decision value of each word."""
         out = np.full(len(words), -np.inf)
-        for i in range(0, len(words), 5_000):
-            rows, lengths, word = windows(words[i : i + 5_000])
-            row, code, value = subsequences(rows, lengths)
-            decided = np.bincount(row, weights=value * self.weights[code], minlength=len(rows)) + self.bias
-            np.maximum.at(out, i + word, decided)
+        first = letters = 0
+        for i, w in enumerate(words):
+            letters += len(w) + 1
+            if letters >= LETTERS or i + 1 == len(words):
+                every = Windows(words[first : i + 1])
+                for j in range(0, len(every), AT_ONCE):
+                    rows, lengths, word = every.cut(j, j + AT_ONCE)
+                    row, code, value = subsequences(rows, lengths)
+                    decided = np.bincount(row, weights=value * self.weight_of[code], minlength=len(rows)) + self.bias
+                    np.maximum.at(out, first + word, decided)
+                first, letters = i + 1, 0
         return out
 
-    def scores(self, values: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(pooled(values) @ self.pooling).clip(-700, 700)))
+    def scores(self, pooled: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(pooled @ self.pooling).clip(-700, 700)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -295,41 +331,63 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None,
     share = toxic.mean() if toxic_share is None else toxic_share
     cost = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     pooling = _logistic(pooled([per_word[b] for b in spoken]), toxic.astype(float), cost)
-    return Machine(weights.astype(np.float32), bias, pooling)
+    used = np.flatnonzero(weights)
+    return Machine(used.astype(np.int32), weights[used].astype(np.float32), bias, pooling)
 
 
-def sample(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[list[str], np.ndarray, float | None]:
-    """labelled: key, text, label. The bounded sample, on the driver, and the share of toxic rows among all."""
-    texts, toxic = [], []
-    found = {r[0]: r[1] for r in labelled.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> tuple[DataFrame, float | None]:
+    """docs: key, text; labels: key, label. The sample as a table of place, toxic and text, and the share of toxic rows among all.
+
+    Rows are chosen by their hashes and sizes, without their texts; copies of a row are folded before the join.
+    """
+    has_text = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"), F.col(text).alias("text"))
+    slim = has_text.groupBy("key", "h", "size").agg(F.count("*").alias("n"))
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key"), F.col(label).alias("label")).agg(F.count("*").alias("m"))
+    labelled = cut(slim.join(known, "key").withColumn("order", F.xxhash64(F.lit(SEED), "key", "h")))
+    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
+    chosen = []
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        some = labelled.where((F.col(label) == value) & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-        # Keys are chosen first, so the sort carries no texts.
-        keys = some.select(F.xxhash64(F.lit(SEED), F.col(key)).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(most)
-        rows = some.join(F.broadcast(keys.select(F.col("k").alias(key)).distinct()), key, "left_semi").select(text).collect()
-        texts += sorted(r[0] for r in rows)[:most]
-        toxic += [value] * (len(texts) - len(toxic))
+        rows, held = labelled.where(F.col("label") == value).orderBy("order", "key", "h").limit(most).collect(), 0
+        for r in rows:
+            if held >= SAMPLE_BYTES:
+                break
+            chosen.append((len(chosen), value, r["key"], r["h"]))
+            held += r["size"]
+    kind = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("toxic", T.IntegerType()), labelled.schema["key"], labelled.schema["h"]])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, kind))  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
+    texts = has_text.join(wanted, ["key", "h"]).groupBy("place", "toxic").agg(F.first("text").alias("text"))
     total = sum(found.values())
-    return texts, np.array(toxic, dtype=bool), found.get(1, 0) / total if total else None
+    return texts, found.get(1, 0) / total if total else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Machine | float:
+    """Train on the sample, in one executor task, which returns the machine: some ten thousand weights."""
+    texts, share = sample(docs, labels, text, label, key)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["place"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
+        machine = train([r[2] for r in rows], np.array([r[1] for r in rows]), share)
+        del rows
+        yield pa.RecordBatch.from_pydict({"machine": pa.array([pickle.dumps(machine)], pa.binary())})
+        release_memory()
+
+    found = texts.repartition(1).mapInArrow(trained, "machine binary").collect()
+    return pickle.loads(found[0]["machine"]) if found else 0.0
 
 
 def score(docs: DataFrame, machine: Machine | float, text: str | Column = "text") -> DataFrame:
     """Add the struct column __ef_toxic: score, and worst, the word with the greatest value."""
     if isinstance(machine, float):
         return docs.withColumn("__ef_toxic", F.struct(F.lit(machine).alias("score"), F.lit(None).cast("string").alias("worst")))
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # ALPHABET ** ORDER floats, 10 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # the weights of some landmarks' subsequences, whatever the corpus
 
     @F.arrow_udf("score double, worst string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine, known = shared.value, {}
         for texts in batches:
-            strongest, worst, i = [], [], 0
-            while i < len(texts):
-                some, size = [], 0
-                while i < len(texts) and size < BATCH_BYTES:
-                    some.append(words_of(texts[i].as_py()))
-                    size += len(texts[i].as_py())
-                    i += 1
+            strongest, worst = [], []
+            for _, these in by_bytes(texts, BATCH_BYTES):
+                some = [words_of(t) for t in these]
                 new = list({w for words in some for w in words if w not in known})
                 if len(known) + len(new) > CACHE_WORDS:
                     known, new = {}, list({w for words in some for w in words})
@@ -337,8 +395,9 @@ def score(docs: DataFrame, machine: Machine | float, text: str | Column = "text"
                 for words in some:
                     v = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
                     worst.append(words[int(v.argmax())] if len(v) else None)
-                    strongest.append(v if len(v) <= STRONGEST else np.partition(v, len(v) - STRONGEST))
-            yield pa.StructArray.from_arrays([pa.array(machine.scores(strongest)), pa.array(worst, pa.string())], ["score", "worst"])
+                    strongest.append(pooled([v])[0])
+            x = np.array(strongest).reshape(-1, STRONGEST + 2)
+            yield pa.StructArray.from_arrays([pa.array(machine.scores(x)), pa.array(worst, pa.string())], ["score", "worst"])
         known.clear()
         release_memory()
 

@@ -95,11 +95,98 @@ def test_toxicity_of_odd_documents(odd_docs, no_docs, machine):
     assert X.score(odd_docs, 0.25).select(F.max("__ef_toxic.score")).first()[0] == 0.25
 
 
-def test_sample_is_bounded_and_repeats(spark):
+def labelled(spark, rows):
+    """rows: key, text, toxic."""
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}, key=str), "doc_id long, toxic int")
+
+
+def test_sample_is_bounded_and_repeats(spark, monkeypatch):
     texts, toxic = corpus(80, 3)
-    df = spark.createDataFrame([(i, t, int(x)) for i, (t, x) in enumerate(zip(texts, toxic))], "doc_id long, text string, toxic int")
-    a, b = X.sample(df), X.sample(df.repartition(5))
-    assert a[0] == b[0] and (a[1] == b[1]).all() and a[2] == pytest.approx(toxic.mean())
+    docs, labels = labelled(spark, [(i, t, int(x)) for i, (t, x) in enumerate(zip(texts, toxic))])
+    take = lambda d: ([tuple(r) for r in d[0].orderBy("place").collect()], d[1])
+    a, b = take(X.sample(docs, labels)), take(X.sample(docs.repartition(5), labels))
+    assert a == b and a[1] == pytest.approx(toxic.mean()) and len(a[0]) == 80
+    monkeypatch.setattr(X, "SAMPLE_CLEAN", 7)
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 600)
+    rows, _ = take(X.sample(docs, labels))
+    assert sum(r[1] == 0 for r in rows) <= 7
+    for value in (0, 1):
+        sizes = [len(r[2]) for r in rows if r[1] == value]
+        assert sum(sizes[:-1]) < 600
+
+
+def test_a_key_repeated_often_trains_once(spark):
+    texts, toxic = corpus(60, 5)
+    rows = [(i, t, int(x)) for i, (t, x) in enumerate(zip(texts, toxic))]
+    docs, labels = labelled(spark, rows)
+    many = docs.union(spark.range(100_000).selectExpr("CAST(0 AS LONG) AS doc_id", f"'{texts[0]}' AS text"))
+    sampled, share = X.sample(many, labels)
+    assert sampled.count() == 60 and share == pytest.approx((toxic.sum() + 100_000 * toxic[0]) / 100_060)
+
+
+def test_long_toxic_texts_train(spark):
+    texts, toxic = corpus(40, 6)
+    rows = [(i, t * (150 if x else 1), int(x)) for i, (t, x) in enumerate(zip(texts, toxic))] + [(99, None, 1), (None, "stupid", 1)]
+    docs, labels = labelled(spark, rows)
+    machine = X.fit(docs, labels)
+    assert not isinstance(machine, float)
+    got = dict(zip(words := ["stupid", "idiot", "tonera"], machine.values(words)))
+    assert min(got["stupid"], got["idiot"]) > got["tonera"] + 0.5
+
+
+def test_fit_without_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 0), (1, 1)], "doc_id long, toxic int")
+    assert X.fit(odd_docs, labels) == 0.0  # the toxic row has no text
+    assert X.fit(no_docs, labels) == 0.0 and X.fit(odd_docs, labels.where("false")) == 0.0
+
+
+def test_a_long_word_is_scored_in_pieces(machine):
+    import tracemalloc
+
+    word = "nerato" * 170_000 + "stupid" * 4
+    tracemalloc.start()
+    value = machine.values([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows, lengths, _ = X.windows([word])
+    tail = [machine.values([word[-60:]])[0]]
+    assert peak < 100_000_000 and value >= max(tail) - 0.3
+    assert len(rows) == len(X.Windows([word]))
+
+
+def slow_machine(x, y, cost):
+    """The same loss by plain gradient steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, X.PENALTY), 1e-8)
+    rate = 1 / ((x * cost[:, None]).T @ x).trace()
+    for _ in range(200_000):
+        w -= rate * (ridge * w - x.T @ (cost * y * np.maximum(0, 1 - y * (x @ w))))
+    return w
+
+
+def test_the_machine_finds_the_least_loss():
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 3)), np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    x[:, 0] += y
+    cost = np.where(y > 0, 0.02, 0.03)
+    assert X._machine(x, y, cost) == pytest.approx(slow_machine(x, y, cost), abs=1e-3)
+
+
+def test_nystroem_map_keeps_the_kernel_of_landmarks():
+    """Kernel rows of landmarks, whitened by the inverse root, have the kernel as their products; so do the table's weights."""
+    rows, lengths, _ = X.windows(["stupid", "idiot", "banana", "worthless"])
+    symbols = [rows[i][: lengths[i]].tolist() for i in range(len(rows))]
+    k = np.array([[slow_kernel(a, b) for b in symbols] for a in symbols])
+    values, root = np.linalg.eigh(k)
+    mapped = k @ (root / np.sqrt(values))
+    assert mapped @ mapped.T == pytest.approx(k)
+
+
+def test_pooling_takes_the_strongest():
+    got = X.pooled([np.array([0.1, 0.9, 5.0, -3.0, 0.2, 0.3]), np.zeros(0)])
+    assert got[0].tolist() == pytest.approx([X.MOST, 0.9, 0.3, 0.2, 0.1, np.log1p(6), 1.0])
+    assert got[1].tolist() == pytest.approx([X.LEAST] * 5 + [0.0, 1.0])
 
 
 def slow_log_odds(x, rows, labels):

@@ -70,7 +70,7 @@ def test_scores_match_the_definition(spark):
     rows = [(i, t, i % 3 != 2) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(i, t or "", train) for i, t, train in rows], "doc_id long, text string, train boolean").repartition(3)
     slow = slow_model([(t or "").encode().lower() for _, t, train in rows if train])
-    got = {r["doc_id"]: r for r in ctw.score(docs, ctw.fit(docs, DEPTH)).collect()}
+    got = {r["doc_id"]: r for r in ctw.score(docs, DEPTH)[0].collect()}
     words = Counter(w for _, t, train in rows if train for w in [*(t or "").encode().lower().split(), None])
     n, v = sum(words.values()), len(words)
     for i, t, _ in rows:
@@ -95,13 +95,27 @@ def test_grams_see_contexts_within_their_text_only():
     assert of.tolist() == [0, 0, 0, 1, 2, 2]
 
 
+def test_chunks_and_steps_change_nothing(odd_docs):
+    docs = ctw.split_by_key(odd_docs)
+    pick = lambda *sizes: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["score"], 6), round(r["base_score"], 6)) for r in ctw.score(docs, ctw.DEPTH, *sizes)[0].collect())
+    assert pick(60, 7) == pick()
+
+
+def test_packed_values_come_back():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 1000))
+    assert (ctw.unpack(ctw.pack(keys, rising=True), np.int64, rising=True) == keys).all()
+    values = rng.normal(size=77)
+    assert (ctw.unpack(ctw.pack(values), np.float64) == values).all()
+    assert len(ctw.unpack(ctw.pack(np.zeros(0)), np.float64)) == 0
+
+
 def test_held_out_texts_teach_nothing(spark):
     docs = spark.createDataFrame([(1, "aaa bbb", True), (2, "xyz xyz xyz", False)], "doc_id long, text string, train boolean")
-    model = ctw.fit(docs, DEPTH)
-    alone = ctw.fit(docs.where("train"), DEPTH)
-    pick = lambda m: {r["doc_id"]: r["score"] for r in ctw.score(docs.where("train"), m).collect()}
-    assert pick(model) == pytest.approx(pick(alone)) and model.train_tokens == 3
-    r = ctw.score(docs, model).where("doc_id = 2").first()
+    both, totals = ctw.score(docs, DEPTH)
+    alone, _ = ctw.score(docs.where("train"), DEPTH)
+    assert both.where("train").first() == alone.first() and totals.train_tokens == 3
+    r = both.where("doc_id = 2").first()
     assert r["n_known"] == 1 and r["n_tokens"] == 4
 
 
@@ -109,18 +123,18 @@ def test_longer_training_helps(spark):
     text = "the quick brown fox jumps over the lazy dog again and again "
     rows = [(i, text * 3, True) for i in range(20)] + [(99, text, False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    r = ctw.score(docs, ctw.fit(docs)).where("doc_id = 99").first()
+    r = ctw.score(docs)[0].where("doc_id = 99").first()
     assert r["score"] > r["base_score"] and -r["score"] / r["n_bytes"] / math.log10(2) < 0.5
 
 
 def test_odd_documents(odd_docs, no_docs):
     docs = ctw.split_by_key(odd_docs)
-    got = ctw.score(docs, ctw.fit(docs)).collect()
+    got = ctw.score(docs)[0].collect()
     assert len(got) == 10 and all(r["score"] < 0 for r in got)
     empty = ctw.split_by_key(no_docs)
-    assert ctw.score(empty, ctw.fit(empty)).count() == 0
+    assert ctw.score(empty)[0].count() == 0
     untrained = docs.where("doc_id = 4").selectExpr("doc_id", "text", "false AS train")
-    first = ctw.score(untrained, ctw.fit(untrained)).first()
+    first = ctw.score(untrained)[0].first()
     assert first["score"] == pytest.approx(8 * math.log10(0.5) * first["n_bytes"])
 
 

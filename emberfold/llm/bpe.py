@@ -143,6 +143,7 @@ class WordBpe:
             self.length[i] = len(body)
             self.automaton.add_word(symbols[i], i)
         self.automaton.make_automaton()
+        self.reach = max(self.length)
         whole = {s: i for i, s in symbols.items()}
         self.shorter = [-1] * self.size
         for i, s in symbols.items():
@@ -190,9 +191,10 @@ class WordBpe:
                 bound, right = place[right] + 1, halves[right][0]
 
     def encode_piece(self, symbols: str) -> list[int]:
-        length, shorter, longest = self.length, self.shorter, self.automaton.iter_long
+        length, shorter, longest, reach = self.length, self.shorter, self.automaton.iter_long, self.reach
         open_at, taken, at, end = bytearray(b"\x01") * (len(symbols) + 1), [], 0, len(symbols)
-        token = next(longest(symbols))[1]
+        # The automaton is given no more than a token's reach: it would read the whole rest of the piece each time.
+        token = next(longest(symbols[:reach]))[1]
         while True:
             to = at + length[token]
             if open_at[to] and (not taken or self.fits(taken[-1], token)):
@@ -200,7 +202,7 @@ class WordBpe:
                 at = to
                 if at == end:
                     return taken
-                token = next(longest(symbols, at))[1]
+                token = next(longest(symbols[at : at + reach]))[1]
                 continue
             token_shorter = shorter[token]
             if token_shorter >= 0:

@@ -119,6 +119,22 @@ def with_computed(docs: DataFrame, name: str, kind: str, compute: Callable[[list
     return slim.mapInArrow(run, schema)
 
 
+#: A key with over one of so many parts of all rows is joined by broadcast: there are fewer such keys than this.
+PARTS = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, count: str = "n") -> DataFrame:
+    """Rows with the table's row of their key; rows without one go. No key meets in one task, however many rows it has.
+
+    table: distinct keys, each with its number of rows in `count`, which is dropped. total: of the rows. Keys that have
+    more than one of `PARTS` parts are broadcast, `PARTS` at most; the others are shuffled.
+    """
+    hot = F.col(count) * PARTS > total
+    few = F.broadcast(table.where(hot).drop(count))
+    rest = rows.join(F.broadcast(table.where(hot).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    return rows.join(few, key).union(rest.join(table.where(~hot).drop(count), key))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like `cut`, for wide rows: a compressed Parquet table in the shared folder, of which later reads take what they need."""
     path = scratch(df.sparkSession, name)

@@ -3,8 +3,10 @@
 Sizes are words. A source's target is its weighted share of all words, capped at `MOST_COPIES` times its own size, with
 the excess shared again by weight until no source is above its cap. Whole copies of a source are taken while they fit.
 What is left of the target is a budget that some of the source's documents fill once more: documents are counted by
-exact length, most of the budget is dealt in proportion to the counts, and a bounded knapsack over the lengths (a bitset
-of reachable sums) finds counts that fill the remaining budget exactly, or as nearly below as any choice does.
+exact length, the budget is dealt in proportion to the counts, and a bounded knapsack over the lengths (a bitset of
+reachable sums) finds counts that fill the remaining budget exactly. Where none do, dealt documents are given back,
+`GIVEN_BACK` words or all of them, and the knapsack runs again. So a budget of up to `GIVEN_BACK` words is met as nearly
+as any choice of documents can; a larger one is missed only if no choice that keeps the rest as dealt meets it.
 
 Which documents of a length are taken is decided by a seeded hash of the document's key, so reruns agree. The result of
 planning is a table with a row for each (source, length): copies for all, and the last (hash, row) that is taken once
@@ -23,14 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, whole_text, written
+from .common import SPACE, cut, join_by_key, whole_text, written
 
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 20
-#: The knapsack starts once no more than so many words of a budget are left.
-KNAPSACK_WORDS = 65_536
+#: The knapsack starts once no more than so many words of a budget are left, and gives back so many if it misses.
+KNAPSACK_WORDS, GIVEN_BACK = 65_536, 1 << 20
 #: Hash prefixes that split a (source, length).
 PREFIX_BITS = 10
-#: A plan of so many rows, 10 MB or so, is broadcast; a longer one is joined by shuffle.
+#: A plan of so many rows, 10 MB or so, is broadcast, so texts are not shuffled; of a longer one only the lengths that many
+#: documents share are.
 BROADCAST_ROWS = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -70,39 +73,59 @@ def targets(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return sources.select("__ef_source", "source_size", F.when(F.col("free_level").isNull(), F.col("cap").cast("double")).otherwise(F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0))).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, knapsack: int = KNAPSACK_WORDS) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, knapsack: int = KNAPSACK_WORDS, given_back: int = GIVEN_BACK) -> np.ndarray:
     """How many documents of each length make up the budget: exactly, or the most below it that the knapsack reaches."""
-    taken = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
-        return taken
+        return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    left = budget - int((lengths * taken).sum())
+    best, missed = None, budget + 1
     order = np.random.default_rng(seed).permutation(len(lengths))
-    for i in order:
-        if left <= knapsack:
+    for window in (0, min(budget, knapsack), min(budget, given_back)):
+        taken = _dealt(lengths, counts, budget - window, total)
+        for i in order:
+            left = budget - int((lengths * taken).sum())
+            if left <= max(window, knapsack):
+                break
+            if length := int(lengths[i]):
+                taken[i] += min(int(counts[i] - taken[i]), (left - max(window, knapsack)) // length)
+        short = _filled(lengths, counts, taken, budget - int((lengths * taken).sum()), order)
+        if short < missed:
+            best, missed = taken, short
+        if not missed:
             break
-        if length := int(lengths[i]):
-            more = min(int(counts[i] - taken[i]), (left - knapsack) // length)
-            taken[i] += more
-            left -= more * length
-    reach, full, steps = 1, (1 << (left + 1)) - 1, []
+    return best
+
+
+def _dealt(lengths: np.ndarray, counts: np.ndarray, words: int, total: int) -> np.ndarray:
+    return np.array([int(c) * words // total for c in counts], dtype=np.int64)
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, left: int, order: np.ndarray) -> int:
+    """Add to `taken` what comes nearest below so many words; how many stay missing.
+
+    Each sum keeps the step that first reached it, so the way back needs no bitset of every step.
+    """
+    reach, full, steps, first = 1, (1 << (left + 1)) - 1, [], np.full(left + 1, -1, dtype=np.int32)
     for i in order:
         length, free, size = int(lengths[i]), int(counts[i] - taken[i]), 1
         while length and free and not reach >> left & 1:
             some = min(size, free)
             if some * length <= left:
-                steps.append((reach, i, some))
-                reach |= reach << some * length & full
+                new = (reach << some * length & full) & ~reach
+                if new:
+                    bits = np.frombuffer(new.to_bytes(left // 8 + 1, "little"), dtype=np.uint8)
+                    first[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                    steps.append((i, some))
+                    reach |= new
             free, size = free - some, size * 2
-    at = reach.bit_length() - 1
-    for before, i, some in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += some
-            at -= some * int(lengths[i])
-    return taken
+    at = best = reach.bit_length() - 1
+    while at:
+        i, some = steps[first[at]]
+        taken[i] += some
+        at -= some * int(lengths[i])
+    return left - best
 
 
 def _choose(source: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +138,7 @@ def _choose(source: pd.DataFrame) -> pd.DataFrame:
 
 
 def plan(slim: DataFrame, wanted: DataFrame) -> DataFrame:
-    """__ef_source, __ef_size, copies, last_hash, last_row: what to take of each (source, length)."""
+    """__ef_source, __ef_size, docs, copies, last_hash, last_row: what to take of each (source, length)."""
     key = ["__ef_source", "__ef_size"]
     slim = slim.select(*key, "__ef_hash", "__ef_row", F.shiftright("__ef_hash", 64 - PREFIX_BITS).alias("prefix"))
     prefixes = cut(slim.groupBy(*key, "prefix").agg(F.count("*").alias("docs")))
@@ -131,6 +154,7 @@ def plan(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     none, every = (1 << 63) - 1, F.col("extra") == F.col("docs")
     out = chosen.join(last, key, "left").select(
         *key,
+        "docs",
         (F.col("copies") + F.when(every & (F.col("extra") > 0), 1).otherwise(0)).alias("copies"),
         F.coalesce("last_hash", F.lit(-none - 1)).alias("last_hash"),
         F.coalesce("last_row", F.lit(-1)).alias("last_row"),
@@ -138,13 +162,15 @@ def plan(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def apply_plan(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
+def apply_plan(docs: DataFrame, plan_rows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs: as `marked` leaves them. Adds __ef_copies, how often each document is taken."""
-    plan_rows = cut(plan_rows)
-    if plan_rows.count() <= BROADCAST_ROWS:
-        plan_rows = F.broadcast(plan_rows)
+    plan_rows, key = cut(plan_rows), ["__ef_source", "__ef_size"]
+    lengths, total = plan_rows.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    if lengths <= broadcast_rows:
+        joined = docs.join(F.broadcast(plan_rows.drop("docs")), key)
+    else:
+        joined = join_by_key(docs, plan_rows, key, total, "docs")
     once_more = (F.col("__ef_hash") < F.col("last_hash")) | ((F.col("__ef_hash") == F.col("last_hash")) & (F.col("__ef_row") <= F.col("last_row")))
-    joined = docs.join(plan_rows, ["__ef_source", "__ef_size"])
     copies = F.when(F.col("__ef_size") > 0, F.col("copies") + once_more.cast("int")).otherwise(0)
     return joined.withColumn("__ef_copies", copies).drop("copies", "last_hash", "last_row")
 

@@ -15,10 +15,11 @@ A file with more than `FILE_ROWS` fingerprints is not compared pairwise. Its fin
 values within one bit of them (65 each): two fingerprints share such a value just when they differ in two bits at most,
 and no value has more than 65 of them. Files are counted before they are dealt out, so such a file never meets in a task.
 
-Components come from alternating large-star and small-star steps over the links, each written to the shared folder.
+Components come from alternating large-star and small-star steps over the links, each written to the shared folder. Hubs
+of links and fingerprints of many members are joined apart, so that none meets in one task.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other. Rows of one doc_id are members like any
-others. A null doc_id is the smallest. An empty table gives no rows.
+others. A null doc_id is the smallest, so it is the component_id of all that it links to. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text, written
+from .common import cut, join_by_key, whole_text, written
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 BLOCK_BITS = 16
@@ -143,33 +144,37 @@ def links(prints: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node with a link; root is the component's smallest node."""
     edges = cut(edges)
-    before = None
-    while True:
+    before, now = None, _state(edges)
+    while now != before:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_by_key(both, least, "a", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(down, least, "a", now[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        before, now = now, _state(edges)
     # Edges are stars around the roots now.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """How many links there are, and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def label(members: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
-    """members: member (anything that can be ordered), bits. Adds first, the smallest member of the component."""
-    prints = cut(members.groupBy("bits").agg(F.min("member").alias("least")))
+    """members: member (anything that can be ordered; null is the smallest), bits. Adds first, the smallest member of the component."""
+    members = members.select("*", F.struct("member").alias("__ef_least"))  # a struct's order counts nulls, min() alone skips them
+    prints = cut(members.groupBy("bits").agg(F.min("__ef_least").alias("least"), F.count("*").alias("n")))
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     linked = components(links(prints.select("bits"), file_rows))
     roots = linked.select("root").distinct().select(F.col("root").alias("node"), "root")
-    named = linked.union(roots).join(prints, F.col("node") == F.col("bits")).select("node", "root", "least")
-    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
-    spread = named.join(firsts, "root").select(F.col("node").alias("bits"), "first")
-    every = prints.join(spread, "bits", "left").select("bits", F.coalesce("first", "least").alias("first"))
-    return members.join(every, "bits")
+    named = cut(linked.union(roots).join(prints, F.col("node") == F.col("bits")).select("bits", "root", "least"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    spread = join_by_key(named, firsts, "root", named.count()).select("bits", "first")
+    every = cut(prints.join(spread, "bits", "left").select("bits", "n", F.coalesce("first", "least")["member"].alias("first")))
+    return join_by_key(members.drop("__ef_least"), every, "bits", total)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

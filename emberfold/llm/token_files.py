@@ -9,10 +9,10 @@ Layout, little-endian: b"EFT1"; the blocks, each with base u32, count u16, width
 two, packed bits, exception places u16, exception high bits u32; block starts u64; document starts u64; document ids i64;
 then the numbers of blocks, documents and ids, u64 each.
 
-Documents are range-partitioned by doc_id, each partition is sorted and written as one file to the shared folder under a
-name that depends on its number alone: to a name of its own first, then renamed, so that a task that runs twice or is
-lost leaves no half file. The files' id totals, one row each, give by a running sum where each file starts. Reading maps
-over those rows, a task per file.
+Documents are range-partitioned by doc_id, each partition is sorted and written as one file to the shared folder, named
+by its number and the attempt. Only rows of successful tasks name files, so a task that runs twice or is lost leaves a
+file that nothing reads. The files' id totals, one row each, give by a running sum where each file starts. Reading maps
+over those rows, a task per file, which reads the index and then some blocks at a time.
 
 Defined results: a null or empty text has its end id only; rows of one doc_id are in order of their texts' hashes; a null
 doc_id comes first. An empty table gives no rows.
@@ -142,22 +142,26 @@ class FileWriter:
 class FileReader:
     """Random access to a file's ids and documents."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        if data[:4] != MAGIC:
+    def __init__(self, source: pa.NativeFile):
+        self.source, size = source, source.size()
+        if size < len(MAGIC) + _TAIL.size or source.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError("not a token file")
-        blocks, docs, self.n = _TAIL.unpack_from(data, len(data) - _TAIL.size)
-        at = len(data) - _TAIL.size - 8 * (blocks + 2 * docs)
-        self.blocks = np.frombuffer(data, "<u8", blocks, at)
-        self.starts = np.frombuffer(data, "<u8", docs, at + 8 * blocks).astype(np.int64)
-        self.keys = np.frombuffer(data, "<i8", docs, at + 8 * (blocks + docs))
+        blocks, docs, self.n = _TAIL.unpack(source.read_at(_TAIL.size, size - _TAIL.size))
+        at = size - _TAIL.size - 8 * (blocks + 2 * docs)
+        index = source.read_at(8 * (blocks + 2 * docs), at)
+        #: Where each block starts, and the last one ends.
+        self.blocks = np.append(np.frombuffer(index, "<u8", blocks), np.uint64(at))
+        self.starts = np.frombuffer(index, "<u8", docs, 8 * blocks).astype(np.int64)
+        self.keys = np.frombuffer(index, "<i8", docs, 8 * (blocks + docs))
 
     def ids(self, start: int, end: int) -> np.ndarray:
-        """The ids from one place to another: only their blocks are unpacked."""
+        """The ids from one place to another: only their blocks are read."""
         if end <= start:
             return np.zeros(0, dtype=np.uint32)
-        first = start // BLOCK
-        some = np.concatenate([unpack(self.data, int(self.blocks[b])) for b in range(first, (end - 1) // BLOCK + 1)])
+        first, last = start // BLOCK, (end - 1) // BLOCK + 1
+        offset = int(self.blocks[first])
+        data = memoryview(self.source.read_at(int(self.blocks[last]) - offset, offset))
+        some = np.concatenate([unpack(data, int(self.blocks[b]) - offset) for b in range(first, last)])
         return some[start - first * BLOCK : end - first * BLOCK]
 
     def documents(self, at_once: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -192,8 +196,8 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part, k, t in zip(batch["part"], batch["key"], batch["text"].cast(pa.binary())):
                 if writer is None:
-                    name, own = f"{base}/part-{part.as_py():06d}.eft", f"{base}/.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(own)
+                    name = f"part-{part.as_py():06d}-{uuid.uuid4().hex}.eft"
+                    sink = fs.open_output_stream(f"{base}/{name}")
                     writer = FileWriter(sink)
                 k = k.as_py()
                 writer.add(NULL_KEY if k is None else k, np.frombuffer(encoder.encode(t.as_py()) + end, dtype="<u4"))
@@ -201,12 +205,12 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             writer.close()
             size = sink.tell()
             sink.close()
-            fs.move(own, name)
-            yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "docs": [len(writer.keys)], "ids": [writer.n], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "docs": [len(writer.keys)], "ids": [writer.n], "bytes": [size]})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
-    dealt = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # The tie tells repeated rows apart, so that they need not meet in one partition; they are alike, so any order will do.
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(shuffle_width(docs.sparkSession), *order, "tie").sortWithinPartitions(*order, "tie")
     return dealt.select(F.spark_partition_id().alias("part"), "key", "text").mapInArrow(encode_to_file, "file string, docs long, ids long, bytes long")
 
 
@@ -219,16 +223,15 @@ def read(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with fs.open_input_file(f"{base}/{row['file']}") as f:
-                    reader = FileReader(f.read())
-                rows: list = []
-                size = 0
-                for k, start, ids in reader.documents():
-                    rows.append((None if k == NULL_KEY else k, row["before"] + start, ids.tobytes()))
-                    size += len(rows[-1][2])
-                    if size > 8_000_000:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                yield _batch(rows)
+                    rows: list = []
+                    size = 0
+                    for k, start, ids in FileReader(f).documents():
+                        rows.append((None if k == NULL_KEY else k, row["before"] + start, ids.tobytes()))
+                        size += len(rows[-1][2])
+                        if size > 4_000_000:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                    yield _batch(rows)
 
     def _batch(rows: list) -> pa.RecordBatch:
         k, start, ids = zip(*rows) if rows else ((), (), ())

@@ -66,13 +66,24 @@ def test_fit_is_the_best_that_any_choice_reaches(counts, budget):
         reach = {s + length * k for s in reach for k in range(c + 1)}
     x = mixing.fit(lengths, n, budget)
     assert (x >= 0).all() and (x <= n).all()
-    total = int((x * lengths).sum())
-    assert total <= max(budget, 0) or budget >= int((lengths * n).sum())
-    # The proportional part leaves a small budget; what the knapsack adds is never worse than doing without it.
-    floor = int((lengths * np.array([int(c) * budget // int((lengths * n).sum()) for c in n])).sum()) if budget < (lengths * n).sum() else 0
-    assert total >= min(floor, budget)
-    if n.min() >= 3 and 1 in counts and counts[1] >= 5:
-        assert budget - total <= max(0, budget - max(s for s in reach if s <= budget)) + lengths.max()
+    everything = int((lengths * n).sum())
+    assert int((x * lengths).sum()) == (everything if budget >= everything else max(t for t in reach if t <= budget))
+
+
+def test_fit_gives_dealt_documents_back():
+    assert mixing.fit(np.array([3, 10]), np.array([10, 1]), 10).tolist() == [0, 1]
+    lengths, n = np.array([70_000, 90_001]), np.array([40, 40])
+    x = mixing.fit(lengths, n, 5 * 90_001)
+    assert (x * lengths).sum() == 5 * 90_001
+
+
+def test_a_long_plan_is_joined_without_a_broadcast(spark):
+    rows = [(i, "a", "w " * (i % 7 if i % 3 else 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    slim = cut(mixing.marked(df).drop("text"))
+    plan = cut(mixing.plan(slim, cut(mixing.targets(slim))))
+    pick = lambda most: sorted((r["doc_id"], r["__ef_copies"]) for r in mixing.apply_plan(slim, plan, most).collect())
+    assert pick(0) == pick(10**6) and len(pick(0)) == 600
 
 
 def test_mix_of_odd_documents(odd_docs, no_docs):

@@ -53,6 +53,21 @@ def test_components_match_all_pairs(spark, cap):
     assert got == slow_components(prints)
 
 
+def test_null_members_are_the_smallest_and_crowds_are_split(spark):
+    rng = random.Random(11)
+    prints = [(i, 5) for i in range(1, 900)] + [(None, 5), (1000, 7), (1001, 1 << 40)]
+    prints += [(2000 + i, rng.getrandbits(62)) for i in range(60)]
+    got = {r["member"]: r["first"] for r in S.label(spark.createDataFrame(prints, "member long, bits long").repartition(4)).collect()}
+    assert got[None] is None and got[1] is None and got[1000] is None and got[1001] == 1001
+    assert len(got) == len(prints) and all(got[2000 + i] == 2000 + i for i in range(60))
+
+
+def test_hubs_keep_their_links(spark):
+    edges = [(i, 0) for i in range(1, 2500)] + [(5000, 2499), (6001, 6000)]
+    got = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(1, 2500)} | {5000: 0, 6001: 6000}
+
+
 def test_pivots_discard_no_linked_pair():
     rng = random.Random(8)
     for _ in range(200):

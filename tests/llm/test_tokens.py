@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings
@@ -32,6 +33,19 @@ def test_chosen_texts(library, text):
     agrees(library, text)
 
 
+def test_long_stretches_take_time_in_proportion(library):
+    import random
+    import time
+
+    rng, took = random.Random(4), []
+    agrees(library, "".join(rng.choice("etaoinshrdlu") for _ in range(30_000)))
+    for n in (100_000, 800_000):
+        text, began = "".join(rng.choice("etaoinshrdlu") for _ in range(n)), time.perf_counter()
+        bpe.word_bpe(PATH).encode(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 3 * took[0]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(library, text):
@@ -81,13 +95,13 @@ def test_files_round_trip_and_random_access():
     for k, ids in docs:
         writer.add(k, ids)
     writer.close()
-    reader = token_files.FileReader(sink.getvalue())
+    reader = token_files.FileReader(pa.BufferReader(sink.getvalue()))
     whole = np.concatenate([ids for _, ids in docs])
     for (k, ids), (got_k, start, got) in zip(docs, reader.documents(at_once=3), strict=True):
         assert k == got_k and (ids == got).all() and (whole[start : start + len(ids)] == ids).all()
     assert (reader.ids(1500, 9000) == whole[1500:9000]).all()
     with pytest.raises(ValueError):
-        token_files.FileReader(b"none" + bytes(24))
+        token_files.FileReader(pa.BufferReader(b"none" + bytes(24)))
 
 
 def test_files_of_odd_documents(spark, library, odd_docs, no_docs):

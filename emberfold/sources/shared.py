@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where the session names none."""
+    """What spark.checkpoint.dir names; a temporary folder where the session names none and runs on this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if path:
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(path)
         return path.rstrip("/")
     if kept.isEmpty():
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='emberfold-')}")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get().rstrip("/")

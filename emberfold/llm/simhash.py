@@ -15,8 +15,8 @@ A file with more than `FILE_ROWS` fingerprints is not compared pairwise. Its fin
 values within one bit of them (65 each): two fingerprints share such a value just when they differ in two bits at most,
 and no value has more than 65 of them. Files are counted before they are dealt out, so such a file never meets in a task.
 
-Components come from alternating large-star and small-star steps over the links, each written to the shared folder. Hubs
-of links and fingerprints of many members are joined apart, so that none meets in one task.
+Components come from alternating large-star and small-star steps over the links, each written to the shared folder;
+adaptive execution splits hubs. Fingerprints of many members are joined apart, so that none meets in one task.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other. Rows of one doc_id are members like any
 others. A null doc_id is the smallest, so it is the component_id of all that it links to. An empty table gives no rows.
@@ -39,6 +39,8 @@ WORDS, SEED, MOST_BITS = 3, 42, 2
 BLOCK_BITS = 16
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 0) for i in range(24)], dtype=np.uint64)
 FILE_ROWS = 2048
+#: Links for each task of a round.
+TASK_ROWS = 200_000
 
 
 def fingerprint_of(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -146,18 +148,24 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     before, now = None, _state(edges)
     while now != before:
+        tasks = 1 + now[0] // TASK_ROWS  # links never become more, so small rounds need few tasks
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = join_by_key(both, least, "a", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = _with_least(both, least, tasks).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_by_key(down, least, "a", now[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct())
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = _with_least(down, least, tasks).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")).coalesce(tasks))
+        edges = cut(small.distinct().coalesce(tasks))
         before, now = now, _state(edges)
     # Edges are stars around the roots now.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_least(links: DataFrame, least: DataFrame, tasks: int) -> DataFrame:
+    """Each link with its node's least. A shuffle on either side of the join lets adaptive execution split a hub's links."""
+    return links.join(least.repartition("a"), "a").coalesce(tasks)
+
+
 def _state(edges: DataFrame) -> tuple:
     """How many links there are, and a sum of their hashes."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

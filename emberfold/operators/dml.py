@@ -29,11 +29,11 @@ class ForeignKey:
 
 
 def unique_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values that occur twice; a null is no value."""
+    """Values of columns or expressions that occur twice; a null is no value."""
     present = F.lit(True)
     for c in columns:
-        present = present & F.col(c).isNotNull()
-    return df.where(present).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+        present = present & F.expr(c).isNotNull()
+    return df.where(present).groupBy(*map(F.expr, columns)).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def null_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,11 +6,13 @@ the order within a key does not matter or a maximum by transaction settles it, r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .prefix import previous, running_sum, with_blocks
 
@@ -115,21 +117,57 @@ def running_balance(entries: DataFrame, order: str) -> DataFrame:
 def accept(log: DataFrame, order: str, account: str, delta: str) -> DataFrame:
     """Debits that would take a balance under zero are rejected and count for nothing: adds `accepted` and `balance`.
 
-    What is accepted depends on what was, so each account is folded in order; batches of it arrive in turn, and only the
-    balance is carried. Transfers between accounts need both at once: fold them by a resource, not by an account.
+    What is accepted depends on what was, so an account's rows are folded in order: they stream through a task, sorted,
+    and only the balance is carried. Balances are of the kind of `delta`. A null delta is rejected.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema), "accepted boolean", "balance double"])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, accepted, after, balance = rows.sort_values(order, kind="stable"), [], [], 0.0
-        for d in rows[delta]:
-            ok = balance + d >= 0
-            balance += d if ok else 0
-            accepted.append(ok)
-            after.append(balance)
-        return rows.assign(accepted=accepted, balance=after)
-
-    return log.groupBy(account).applyInPandas(fold, schema)
+
+    def step(balances: dict, row: tuple) -> tuple:
+        d, was = row[0], balances.get(None, 0)
+        ok = d is not None and was + d >= 0
+        balances[None] = was + d if ok else was
+        return ok, balances[None]
+
+    return _folded(log, account, order, [delta], step, log.schema[delta].dataType)
+
+
+def accept_transfers(log: DataFrame, order: str, resource: str, op: str, amount: str, account: str, to: str) -> DataFrame:
+    """MINT adds to an account, BURN takes from it, TRANSFER moves from it to another, all of one resource. What would take a
+    balance under zero is rejected as a whole: adds `accepted` and `balance`, the account's after the row.
+
+    A transfer needs both balances at once, so a resource's rows stream through a task in order, and its balances are
+    carried: memory grows with its accounts, not with its log. A negative or null amount, and a null account, are rejected.
+    """
+
+    def step(balances: dict, row: tuple) -> tuple:
+        kind, n, one, other = row
+        ok = n is not None and n >= 0 and one is not None and (kind == "MINT" or (kind in ("BURN", "TRANSFER") and balances.get(one, 0) >= n)) and (kind != "TRANSFER" or other is not None)
+        if ok:
+            balances[one] = balances.get(one, 0) + (n if kind == "MINT" else -n)
+            if kind == "TRANSFER":
+                balances[other] = balances.get(other, 0) + n
+        return ok, balances.get(one, 0)
+
+    return _folded(log, resource, order, [op, amount, account, to], step, log.schema[amount].dataType)
+
+
+def _folded(log: DataFrame, key: str, order: str, reads: list[str], step: Callable[[dict, tuple], tuple], kind: T.DataType) -> DataFrame:
+    """Rows with what `step` gives for each, by key and in order, from an empty state; batches arrive one after the other."""
+    schema = T.StructType([*log.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("balance", kind)])
+    arrow = to_arrow_type(kind)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = (), {}
+        for batch in batches:
+            accepted, balance = [], []
+            for k, *row in zip(batch[key].to_pylist(), *(batch[c].to_pylist() for c in reads)):
+                if at != (k,):
+                    at, state = (k,), {}
+                ok, now = step(state, tuple(row))
+                accepted.append(ok)
+                balance.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(balance, arrow)], names=schema.names)
+
+    return log.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
 
 
 def reservations(pending: DataFrame, balance: DataFrame, order: str, account: str, amount: str) -> DataFrame:

@@ -17,9 +17,10 @@ def _log(t):
     return t.events.select("event_id", "user_id", "event_type", "value")
 
 
-@query("asof_snapshot", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 500) WHERE r = 1 AND event_type <> 'error'")
+@query("asof_snapshot", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= (SELECT MAX(event_id) // 2 FROM events)) WHERE r = 1 AND event_type <> 'error'")
 def asof_snapshot(t):
-    return L.as_of(_log(t), "user_id", "event_id", 500, _deleted())
+    middle = t.events.agg(F.max("event_id")).first()[0] // 2
+    return L.as_of(_log(t), "user_id", "event_id", middle, _deleted())
 
 
 @query("kv_latest", "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
@@ -113,7 +114,7 @@ def ledger_running(t):
 @query("resource_accept", f"""WITH RECURSIVE ops AS (SELECT user_id AS account, event_id, CASE event_type WHEN 'signup' THEN {SQL_CENTS} ELSE -{SQL_CENTS} END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type IN ('signup', 'purchase')),
 f AS (SELECT account, event_id, r, delta >= 0 AS accepted, CASE WHEN delta >= 0 THEN delta ELSE 0 END AS balance FROM ops WHERE r = 1
 UNION ALL SELECT o.account, o.event_id, o.r, f.balance + o.delta >= 0, CASE WHEN f.balance + o.delta >= 0 THEN f.balance + o.delta ELSE f.balance END FROM f JOIN ops o ON o.account = f.account AND o.r = f.r + 1)
-SELECT account, event_id, accepted, CAST(balance AS DOUBLE) AS balance FROM f""")
+SELECT account, event_id, accepted, CAST(balance AS BIGINT) AS balance FROM f""")
 def resource_accept(t):
     kind = F.col("event_type")
     cents = F.round(F.col("value") * 100).cast("bigint")
@@ -121,11 +122,27 @@ def resource_accept(t):
     return L.accept(rows, "event_id", "account", "delta").select("account", "event_id", "accepted", "balance")
 
 
-@query("own_writes", "SELECT user_id, value FROM (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (SELECT user_id, value, event_type, event_id FROM events WHERE event_id <= 400 UNION ALL SELECT user_id, value + 1, event_type, event_id + 1000000 FROM events WHERE event_id > 400 AND event_id <= 500)) WHERE r = 1 AND event_type <> 'error'")
+@query("own_writes", """SELECT user_id, value FROM (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (
+SELECT user_id, value, event_type, event_id FROM events UNION ALL SELECT user_id, value + 1, event_type, event_id + (SELECT MAX(event_id) FROM events) FROM events WHERE event_type = 'purchase')) WHERE r = 1 AND event_type <> 'error'""")
 def own_writes(t):
-    log = _log(t)
-    own = log.where("event_id > 400 AND event_id <= 500").withColumn("value", F.col("value") + 1).withColumn("event_id", F.col("event_id") + 1_000_000)
-    return L.kv_get(L.with_own_writes(log.where("event_id <= 400"), own), "user_id", "value", "event_id", _deleted())
+    log, last = _log(t), t.events.agg(F.max("event_id")).first()[0]
+    own = log.where("event_type = 'purchase'").withColumn("value", F.col("value") + 1).withColumn("event_id", F.col("event_id") + last)
+    return L.kv_get(L.with_own_writes(log, own), "user_id", "value", "event_id", _deleted())
+
+
+@query("resource_transfer", f"""WITH RECURSIVE ops AS (SELECT event_id, user_id % 10 AS resource, CAST(user_id % 150 // 10 + 1 AS INTEGER) AS one, CAST(event_id % 15 + 1 AS INTEGER) AS other, event_type AS kind, {SQL_CENTS} AS n,
+row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS r FROM events WHERE event_type IN ('signup', 'purchase', 'click')),
+f AS (SELECT DISTINCT resource, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS event_id, FALSE AS accepted, 1 AS one, [CAST(0 AS BIGINT) FOR i IN range(15)] AS held FROM ops
+UNION ALL SELECT o.resource, o.r, o.event_id, o.kind = 'signup' OR held[o.one] >= n, o.one,
+CASE WHEN o.kind = 'signup' OR held[o.one] >= n THEN [held[i] + CASE WHEN i = o.one THEN CASE WHEN o.kind = 'signup' THEN n ELSE -n END ELSE 0 END + CASE WHEN o.kind = 'click' AND i = o.other THEN n ELSE 0 END FOR i IN range(1, 16)] ELSE held END
+FROM f JOIN ops o ON o.resource = f.resource AND o.r = f.r + 1)
+SELECT event_id, accepted, CAST(held[one] AS BIGINT) AS balance FROM f WHERE r > 0""")
+def resource_transfer(t):
+    kind, user = F.col("event_type"), F.col("user_id")
+    op = F.when(kind == "signup", "MINT").when(kind == "purchase", "BURN").when(kind == "click", "TRANSFER")
+    account = lambda slot: F.concat_ws("/", user % 10, slot)
+    rows = t.events.select("event_id", (user % 10).alias("resource"), op.alias("op"), F.round(F.col("value") * 100).cast("bigint").alias("amount"), account(F.floor(user % 150 / 10)).alias("account"), account(F.col("event_id") % 15).alias("other"))
+    return L.accept_transfers(rows.where("op IS NOT NULL"), "event_id", "resource", "op", "amount", "account", "other").select("event_id", "accepted", "balance")
 
 
 @query("queue_peek", f"""WITH {SQL_ERAS},

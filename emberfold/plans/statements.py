@@ -50,14 +50,94 @@ def unique_violations(t):
     return W.unique_violations(t.customer, ["c_nationkey", "c_mktsegment"])
 
 
-@query("fk_orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
+@query("fk_orphans", "SELECT o_orderkey, o_custkey * 2 AS o_custkey FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
 def fk_orphans(t):
-    return W.orphans(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.where("c_custkey % 4 <> 0"), "c_custkey")
+    return W.orphans(t.orders.select("o_orderkey", (F.col("o_custkey") * 2).alias("o_custkey")), "o_custkey", t.customer, "c_custkey")
 
 
-@query("ctas", "SELECT n_regionkey AS region, COUNT(*) AS n FROM nation GROUP BY 1")
+def _statements(t, names, *texts):
+    """A session over the tables, with the statements run in turn; those that raise a constraint give no error here."""
+    from ..session import Session
+
+    session = Session(t.spark)
+    session.load_tables(t.folder, names)
+    refused = 0
+    for text in texts:
+        try:
+            session.execute(text)
+        except W.ConstraintError:
+            refused += 1
+    return session, refused
+
+
+@query("ctas", "SELECT region + 1 AS region, n FROM (SELECT n_regionkey AS region, COUNT(*) AS n FROM nation GROUP BY 1) UNION ALL SELECT 99, 0")
 def ctas(t):
-    return t.nation.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"))
+    session, _ = _statements(t, ["nation"], "CREATE TABLE ctas_regions AS SELECT n_regionkey AS region, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "UPDATE ctas_regions SET region = region + 1", "INSERT INTO ctas_regions VALUES (99, 0)")
+    return session.sql("SELECT region, n FROM ctas_regions")
+
+
+@query("dml_unique_index", "SELECT n_nationkey AS id, n_name AS name, CAST(2 AS BIGINT) AS refused FROM nation UNION ALL SELECT CAST(100 AS INTEGER), NULL, 2 UNION ALL SELECT CAST(101 AS INTEGER), NULL, 2")
+def dml_unique_index(t):
+    """The second statement of each pair gives a value twice and is refused; nulls are no values."""
+    session, refused = _statements(
+        t, ["nation"],
+        "CREATE TABLE unique_nation (id INTEGER, name TEXT)",
+        "INSERT INTO unique_nation SELECT n_nationkey, n_name FROM nation",
+        "CREATE UNIQUE INDEX unique_nation_name ON unique_nation (name)",
+        "INSERT INTO unique_nation SELECT n_nationkey + 500, n_name FROM nation",
+        "UPDATE unique_nation SET name = 'same'",
+        "INSERT INTO unique_nation VALUES (100, NULL), (101, NULL)",
+    )
+    return session.table("unique_nation").withColumn("refused", F.lit(refused).cast("bigint"))
+
+
+@query("ddl_foreign_key", "SELECT n_nationkey AS id, n_regionkey AS region, CAST(3 AS BIGINT) AS refused FROM nation WHERE n_regionkey <> 2")
+def ddl_foreign_key(t):
+    """Orphans, the deletion of a parent that is referred to, and dropping its table are refused; CASCADE takes its children along."""
+    session, refused = _statements(
+        t, ["nation", "region"],
+        "CREATE TABLE fk_region (id INTEGER, name TEXT, PRIMARY KEY (id))",
+        "INSERT INTO fk_region SELECT r_regionkey, r_name FROM region",
+        "CREATE TABLE fk_strict (id INTEGER PRIMARY KEY, region INTEGER, FOREIGN KEY (region) REFERENCES fk_region (id))",
+        "INSERT INTO fk_strict VALUES (1, 77)",
+        "INSERT INTO fk_strict VALUES (1, 1)",
+        "DELETE FROM fk_region WHERE id = 1",
+        "DROP TABLE fk_region",
+        "CREATE TABLE fk_nation (id INTEGER PRIMARY KEY, region INTEGER, CONSTRAINT own FOREIGN KEY (region) REFERENCES fk_region (id) ON DELETE CASCADE)",
+        "INSERT INTO fk_nation SELECT n_nationkey, n_regionkey FROM nation",
+        "DELETE FROM fk_region WHERE id = 2",
+        "DROP TABLE fk_region CASCADE",
+    )
+    return session.table("fk_nation").withColumn("refused", F.lit(refused).cast("bigint"))
+
+
+@query("dialect_powers", "SELECT p_partkey, CAST(p_size AS BIGINT) * p_size * p_size AS cube, CAST(1024 AS BIGINT) AS two, CAST(factorial(p_size % 15) AS DECIMAL(38,0)) AS f, CAST('8683317618811886495518194401280000000' AS DECIMAL(38,0)) AS most FROM part")
+def dialect_powers(t):
+    return _dialect(t, "SELECT p_partkey, p_size ** 3 AS cube, 2 ** 10 AS two, (p_size % 15)! AS f, 33! AS most FROM part", "part")
+
+
+@query("dialect_to_time", "SELECT o_orderkey, CAST(o_orderkey % 24 AS BIGINT) AS h, CAST(o_orderkey % 60 AS BIGINT) AS m FROM orders")
+def dialect_to_time(t):
+    t.orders.selectExpr("o_orderkey", "format_string('%02d:%02d:07', o_orderkey % 24, o_orderkey % 60) AS spelled").createOrReplaceTempView("__order_times")
+    return _dialect(t, "SELECT o_orderkey, EXTRACT(HOUR FROM TO_TIME(spelled, '%H:%M:%S')) AS h, EXTRACT(MINUTE FROM TO_TIME(spelled, '%H:%M:%S')) AS m FROM __order_times")
+
+
+@query("explain_plan", "SELECT TRUE AS has_scan, TRUE AS has_filter")
+def explain_plan(t):
+    session, _ = _statements(t, ["nation"])
+    plan = session.explain("SELECT n_name FROM nation WHERE n_regionkey = 1")
+    return t.spark.createDataFrame([("Scan" in plan, "Filter" in plan)], "has_scan boolean, has_filter boolean")
+
+
+@query("migrate_versions", "SELECT n_nationkey AS id, n_name AS name, CAST(2 AS BIGINT) AS version FROM nation")
+def migrate_versions(t):
+    """A version runs once; an older one does not run after it."""
+    session, _ = _statements(t, ["nation"], "CREATE TABLE migrated (id INTEGER)")
+    session.migrate(1, "ALTER TABLE migrated ADD COLUMN name TEXT")
+    session.migrate(2, "INSERT INTO migrated SELECT n_nationkey, n_name FROM nation")
+    session.migrate(2, "DELETE FROM migrated")
+    session.migrate(1, "DELETE FROM migrated")
+    return session.table("migrated").withColumn("version", F.lit(session.migrations.version).cast("bigint"))
 
 
 @query("alter_table", "SELECT n_nationkey, n_name AS title, CAST(0 AS BIGINT) AS added FROM nation")

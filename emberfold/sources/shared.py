@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return kept.get().rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder: what is made of them later has no plan before this."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

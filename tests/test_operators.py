@@ -213,3 +213,30 @@ def test_running_values_over_blocks(spark):
         assert (r["s"], r["low"], r["low_before"], r["before"]) == (s + v, min(low, s + v), low, last)
         state[k] = (s + v, min(low, s + v), v)
     assert len(got) == len(rows)
+
+
+def test_transfers_are_accepted_as_a_log(spark):
+    rng, rows = random.Random(3), []
+    for i in range(3000):  # one resource holds a third of all rows
+        resource = "big" if i % 3 == 0 else f"r{rng.randrange(20)}"
+        one, other = (f"{resource}/{rng.randrange(5)}" for _ in range(2))
+        rows.append((i, resource, rng.choice(["MINT", "BURN", "TRANSFER"]), rng.choice([None, -1, *range(9)]) if i else 2**60 + 1, one, rng.choice([other, None])))
+    held, want = {}, {}
+    for i, resource, kind, n, one, other in rows:
+        ok = n is not None and n >= 0 and (kind == "MINT" or held.get(one, 0) >= n) and (kind != "TRANSFER" or other is not None)
+        if ok:
+            held[one] = held.get(one, 0) + (n if kind == "MINT" else -n)
+            if kind == "TRANSFER":
+                held[other] = held.get(other, 0) + n
+        want[i] = (ok, held.get(one, 0))
+    df = spark.createDataFrame(rows, "at long, resource string, op string, amount long, account string, other string").repartition(5)
+    got = {r["at"]: (r["accepted"], r["balance"]) for r in L.accept_transfers(df, "at", "resource", "op", "amount", "account", "other").collect()}
+    assert got == want
+
+
+def test_blocks_count_the_edges_before(spark):
+    from emberfold.operators.prefix import _block
+
+    edges = [float(x * x) for x in range(90)]
+    got = spark.range(-5, 8200, 37).select("id", _block(F.col("id").cast("double"), edges).alias("b")).collect()
+    assert all(r["b"] == sum(e < r["id"] for e in edges) for r in got)

@@ -1,4 +1,5 @@
 import io
+import math
 import wave
 
 import numpy as np
@@ -68,3 +69,34 @@ def test_odd_documents(odd_docs, no_docs):
         assert a["payload"] == A.padded(text) and A.samples_of(a["media"])[1] == a["payload"]
         assert seen.setdefault(text, a) == a
     assert A.with_audio(no_docs).count() == 0
+
+
+def slow_mels(n, rate, size):
+    """Triangles on the mel scale, from their definition."""
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    back = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = mel(rate / 2)
+    points = [back(top * i / (n + 1)) for i in range(n + 2)]
+    bins = np.arange(size // 2 + 1) * rate / size
+    out = np.zeros((n, len(bins)))
+    for i in range(n):
+        low, middle, high = points[i : i + 3]
+        for j, f in enumerate(bins):
+            if low < f < high:
+                out[i, j] = (f - low) / (middle - low) if f <= middle else (high - f) / (high - middle)
+    return out
+
+
+def test_log_mels_match_their_definition():
+    rng = np.random.default_rng(12)
+    y = rng.normal(size=700).astype(np.float32)
+    mels, _ = A.log_mels(y)
+    bank = slow_mels(A.MELS, A.NEW_RATE, A.FFT)
+    assert A._filters()[2].T == pytest.approx(bank, abs=1e-4)
+    window = A._filters()[1]
+    for i in (0, 3, len(mels) - 1):
+        frame = np.zeros(A.FFT)
+        frame[: A.FRAME] = y[i * A.HOP : i * A.HOP + A.FRAME] * window
+        k = np.arange(A.FFT // 2 + 1)
+        spectrum = np.exp(-2j * np.pi * np.outer(k, np.arange(A.FFT)) / A.FFT) @ frame
+        assert mels[i] == pytest.approx(np.log(bank @ np.abs(spectrum) ** 2 + A.FLOOR), abs=1e-3)

@@ -35,3 +35,13 @@ def test_pipeline(spark, entry):
     assert one.count() == one.select("doc_id").distinct().count() <= clean.count()
     out = entry.queries()["pipeline"](spark, FOLDER)
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline as P
+
+    for place, (name, stage) in enumerate(P.STAGES):
+        out, none = stage(spark, odd_docs, FOLDER), stage(spark, no_docs, FOLDER)
+        if place < len(P.STAGES) - 1:
+            assert out.columns == odd_docs.columns, name
+        assert none.count() == 0 and len(out.collect()) <= 30, name

@@ -122,6 +122,28 @@ def dialect_to_time(t):
     return _dialect(t, "SELECT o_orderkey, EXTRACT(HOUR FROM TO_TIME(spelled, '%H:%M:%S')) AS h, EXTRACT(MINUTE FROM TO_TIME(spelled, '%H:%M:%S')) AS m FROM __order_times")
 
 
+@query("transactions", "SELECT n_nationkey AS id, n_name AS name, CAST(25 AS BIGINT) AS seen, CAST(1 AS BIGINT) AS refused FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT CAST(100 AS INTEGER), 'adhoc', 25, 1")
+def transactions(t):
+    """One of two transactions that delete from a table finishes, one is refused, one is cancelled; a reader sees its snapshot."""
+    from ..transactions import Coordinator, TransactionError
+
+    session, _ = _statements(t, ["nation"], "CREATE TABLE tx_nation (id INTEGER PRIMARY KEY, name TEXT, region INTEGER)", "INSERT INTO tx_nation SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    all_of_it = Coordinator(session)
+    reader, first, second, third = all_of_it.begin_read_only(), *(all_of_it.begin_read_write() for _ in range(3))
+    for one, region in ((first, 1), (second, 2), (third, 3)):
+        one.execute(f"DELETE FROM tx_nation WHERE region = {region}")
+    third.cancel()
+    first.finish()
+    refused = 0
+    try:
+        second.finish()
+    except TransactionError:
+        refused = 1
+    all_of_it.adhoc("INSERT INTO tx_nation VALUES (100, 'adhoc', 0)")
+    seen = reader.execute("SELECT COUNT(*) AS n FROM tx_nation").select(F.col("n").alias("seen"))
+    return session.sql("SELECT id, name FROM tx_nation").crossJoin(F.broadcast(seen)).withColumn("refused", F.lit(refused).cast("bigint"))
+
+
 @query("explain_plan", "SELECT TRUE AS has_scan, TRUE AS has_filter")
 def explain_plan(t):
     session, _ = _statements(t, ["nation"])

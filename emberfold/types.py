@@ -26,6 +26,14 @@ SCALARS = {
 }
 UNSIGNED_BITS = {"TINYINT UNSIGNED": 8, "SMALLINT UNSIGNED": 16, "INT UNSIGNED": 32, "INTEGER UNSIGNED": 32, "BIGINT UNSIGNED": 64, "HUGEINT UNSIGNED": 128}
 
+_BYTE = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_V4 = rf"{_BYTE}(\.{_BYTE}){{3}}"
+_GROUP = "[0-9a-f]{1,4}"
+#: Eight groups, or fewer with one "::"; the last two may be spelled as four bytes.
+_V6 = rf"({_GROUP}:){{7}}{_GROUP}|({_GROUP}:){{6}}{_V4}|(?!.*::.*::)(?=.*::)(?!(.*?{_GROUP}(:|$)){{8}})({_GROUP})?(::?{_GROUP})*(::|::?{_V4})?"
+ADDRESS = rf"(?i)^({_V4}|{_V6})$"
+UUID_MARKS, UUID_DIGITS = "[-{}]", "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$"
+
 
 def _split(text: str) -> list[str]:
     """At commas outside brackets."""
@@ -58,14 +66,24 @@ def cast(x, name: str) -> Column:
     if upper in UNSIGNED_BITS:
         return unsigned(x, UNSIGNED_BITS[upper])
     if upper == "UUID":
-        plain = F.lower(F.regexp_replace(x, "[-{}]", ""))
-        spelled = F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-        return F.when(x.isNull() | plain.rlike("^[0-9a-f]{32}$"), spelled).otherwise(fail("not a UUID"))
+        plain = F.lower(F.regexp_replace(x, UUID_MARKS, ""))
+        return F.when(x.isNull() | plain.rlike(UUID_DIGITS), F.regexp_replace(plain, UUID_DIGITS, "$1-$2-$3-$4-$5")).otherwise(fail("not a UUID"))
     if upper == "INET":
-        return F.when(x.isNull() | x.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") | x.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"), F.lower(x)).otherwise(fail("not an address"))
+        return F.when(x.isNull() | x.rlike(ADDRESS), F.lower(x)).otherwise(fail("not an address"))
     if upper == "JSON":
         return F.parse_json(x)
     if length := re.fullmatch(r".+\[(\d+)\]", upper):
         out = x.cast(spark_type(name))
         return F.when(x.isNull() | (F.size(x) == int(length[1])), out).otherwise(F.from_json(fail("wrong array length"), spark_type(name)))
     return x.cast(spark_type(name))
+
+
+def checked_text(x: str, name: str) -> str | None:
+    """The same for UUID and INET in Spark's SQL; None for other types."""
+    text = f"CAST({x} AS STRING)"
+    if name.upper() == "UUID":
+        plain = f"lower(regexp_replace({text}, r'{UUID_MARKS}', ''))"
+        return f"CASE WHEN {plain} RLIKE r'{UUID_DIGITS}' THEN regexp_replace({plain}, r'{UUID_DIGITS}', '$1-$2-$3-$4-$5') WHEN {text} IS NOT NULL THEN CAST(raise_error('not a UUID') AS STRING) END"
+    if name.upper() == "INET":
+        return f"CASE WHEN {text} RLIKE r'{ADDRESS}' THEN lower({text}) WHEN {text} IS NOT NULL THEN CAST(raise_error('not an address') AS STRING) END"
+    return None

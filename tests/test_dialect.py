@@ -4,10 +4,12 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberfold.dialect import DialectError, translate
 from emberfold.operators.dml import ConstraintError
 from emberfold.session import Session
+from emberfold.types import cast
 
 
 @pytest.fixture
@@ -147,3 +149,23 @@ def test_factorials_and_powers(spark):
     for bad in ("SELECT 34! AS x", "SELECT 10 ** 19 AS x"):
         with pytest.raises(Exception):
             s.sql(bad).collect()
+
+
+@pytest.mark.parametrize("text", ["1.2.3.4", "255.0.10.99", "::", "::1", "1::", "FE80::1:2", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4"])
+def test_addresses(session, text):
+    assert session.sql(f"SELECT CAST('{text}' AS INET) AS a").first()[0] == text.lower()
+    assert session.spark.range(1).select(cast(F.lit(text), "INET")).first()[0] == text.lower()
+
+
+@pytest.mark.parametrize("text", ["256.1.1.1", "1.2.3", "01.2.3.4", ":", ":1", "1:", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "12345::", "g::"])
+def test_what_is_no_address(session, text):
+    for df in (session.sql(f"SELECT CAST('{text}' AS INET) AS a"), session.spark.range(1).select(cast(F.lit(text), "INET"))):
+        with pytest.raises(Exception, match="not an address"):
+            df.collect()
+
+
+def test_uuids_of_the_dialect(session):
+    got = session.sql("SELECT CAST('{550E8400-E29B-41D4-A716-446655440000}' AS UUID) AS a, CAST(NULL AS UUID) AS b, CAST(NULL AS INET) AS c").first()
+    assert got[:] == ("550e8400-e29b-41d4-a716-446655440000", None, None)
+    with pytest.raises(Exception, match="not a UUID"):
+        session.sql("SELECT CAST('550E8400' AS UUID) AS a").collect()

@@ -235,3 +235,14 @@ def test_quality_without_a_class(spark, odd_docs, no_docs):
     assert Q.fit(stats.selectExpr("__ef_stats", "1 AS quality")) == 1.0
     assert Q.fit(stats.selectExpr("__ef_stats", "CAST(NULL AS INT) AS quality")) == 0.5
     assert Q.score(stats, 0.5).count() == 10 and Q.with_statistics(no_docs).count() == 0
+
+
+def test_decisions_are_sums_over_the_listed_subsequences():
+    rng = np.random.default_rng(3)
+    words = ["", "a", "abc", "abcd", "aaaaaaaa", "abababababab", "x" * 60, "f.o-o b4r", "größe", *("".join(rng.choice(list("abcé"), rng.integers(1, 40))) for _ in range(300))]
+    rows, lengths, _ = X.windows(words)
+    weights = rng.normal(size=X.ALPHABET**X.ORDER).astype(np.float32)
+    row, code, value = X.subsequences(rows, lengths)
+    listed = np.bincount(row, weights=value * weights[code], minlength=len(rows))
+    assert np.allclose(X.decisions(rows, lengths, weights), listed, rtol=1e-12, atol=1e-12)
+    assert not X.decisions(rows[:2], lengths[:2], weights).any() and len(X.decisions(rows[:0], lengths[:0], weights)) == 0

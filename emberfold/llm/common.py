@@ -135,6 +135,18 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], total:
     return rows.join(few, key).union(rest.join(table.where(~hot).drop(count), key))
 
 
+def picked(rows: DataFrame, numbers: DataFrame, column: str) -> DataFrame:
+    """Rows whose number in `column` is among `numbers`, without a shuffle of the rows, which may be wide.
+
+    The numbers go to every task as bits, 64 to a word: half a byte for each row of a table that is numbered throughout.
+    """
+    word, bit = F.shiftright(column, 6), F.col(column).bitwiseAND(63).cast("int")
+    words = numbers.groupBy(word.alias("__ef_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__ef_bits"))
+    # Written first: a broadcast that had to compute them would have only so much time.
+    marked = rows.join(F.broadcast(cut(words)), word == F.col("__ef_word"))
+    return marked.where(F.getbit("__ef_bits", bit) == 1).drop("__ef_word", "__ef_bits")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like `cut`, for wide rows: a compressed Parquet table in the shared folder, of which later reads take what they need."""
     path = scratch(df.sparkSession, name)

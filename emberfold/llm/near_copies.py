@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, release_memory, with_computed, written
+from .common import cut, join_by_key, picked, release_memory, with_computed, written
 from .simhash import components
 
 WORDS, SEED, LEAST = 5, 42, 0.8
@@ -210,8 +210,9 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_text(named: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """named: same; texts: row, text. Adds a text of each set."""
-    return named.join(sets.select("same", "row"), "same").join(texts, "row").drop("row").withColumn("text", F.coalesce("text", F.lit("")))
+    """named: same; texts: row, text. Adds a text of each set. Only these texts are shuffled."""
+    named = cut(named.join(sets.select("same", "row"), "same"))
+    return named.join(picked(texts, named.select("row"), "row"), "row").drop("row").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def _verified(stars: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -289,4 +290,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", file_r
     linked = components(links(sets, slim.select("row", "text"), file_rows))
     named = sets.select("same", "member").join(linked.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     firsts = named.groupBy("root").agg(F.min("member").alias("member")).select(F.col("member.row").alias("__ef_row"))
-    return placed.join(firsts, "__ef_row", "left_semi").select(*docs.columns)
+    return picked(placed, firsts, "__ef_row").select(*docs.columns)

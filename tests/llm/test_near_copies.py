@@ -3,6 +3,7 @@ import random
 import pytest
 
 from emberfold.llm import near_copies as N
+from emberfold.llm.common import picked
 
 
 def slow_shingles(text):
@@ -67,3 +68,23 @@ def test_odd_documents(odd_docs, no_docs):
     keys = [r["doc_id"] for r in kept.collect()]
     assert sorted(k for k in keys if k is not None) == [1, 4, 7, 8, 9] and keys.count(None) == 1
     assert N.deduplicate(no_docs).count() == 0
+
+
+def test_only_texts_that_may_link_are_shuffled(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    alone, twin = [text() for _ in range(50)], text().split()
+    rows = list(enumerate([*alone, " ".join(twin), " ".join(edited(rng, twin, 2))]))
+    docs = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Exchange hash" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(51))
+
+
+def test_picked_rows(spark):
+    numbers = [0, 1, 63, 64, 127, (5 << 33) + 31, (5 << 33) + 63]
+    rows = spark.createDataFrame([(n, f"t{n}") for n in [*numbers, *numbers[2:], 2, 62, 65, (5 << 33) + 30, 5 << 34]], "n long, __word string")
+    some = spark.createDataFrame([(n,) for n in numbers + numbers[:2] + [77]], "n long")
+    out = picked(rows, some, "n")
+    assert out.columns == rows.columns
+    assert sorted(r["n"] for r in out.collect()) == sorted(numbers + numbers[2:])
+    assert picked(rows, some.where("false"), "n").count() == picked(rows.where("false"), some, "n").count() == 0

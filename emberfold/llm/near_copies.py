@@ -3,16 +3,22 @@
 Documents link when the sets of their five-word shingles (lowered and split as SimHash's) have a similarity of `LEAST` or
 more. Texts with equal sets are folded first, so everything after works on distinct sets.
 
-SimHash's two bits find few of these pairs: on sf0.1 fingerprints of pairs at 0.8 or more differ in 2 to 11 bits, and
-filing a fingerprint so that 11 differing bits cannot hide a pair takes thousands of files for each. Candidates come
-from MinHash instead: 32 bands of 4 of a set's 128 smallest hashes. A pair at 0.8 shares no band once in 20 million times.
-A byte of each smallest hash, the sketch, estimates the similarity; pairs under `LIKELY` equal bytes (five deviations
-under 0.8) are discarded.
-
-1. Each set meets the smallest set of each of its bands, and is verified by its shingles against the smallest of these
-   that is likely: a link for most members of a group, however large. A centre with many members is dealt out by salt.
-2. In bands that still hold more than one component, likely pairs of different components are looked for by their
-   sketches; a task gives a spanning forest of them, not the pairs. With the links they make clusters.
+The method is SimHash's through pivot distance tables, as in simhash.py, at the distance that this similarity needs. A
+fingerprint has `BITS` bits, each set if over half of the shingles' hashes set it. A bit of a pair at 0.8 differs with a
+chance of 0.15, of at most 0.19 in sets of a few shingles, so a pair that differs in more than `FAR` bits, five deviations
+above, is none. Pivots are fingerprints of the centres (below) that most bands share: the Hamming distances of every
+fingerprint to them are computed once, and a pair whose distances to a pivot differ by more than `FAR` is discarded without
+being compared, by the triangle inequality. That parts members of the largest groups from other rows; a pair that is far
+from all pivots is compared. Survivors are verified bit by bit, and then exactly by their shingles.
+
+op10 files fingerprints by their blocks. Here no file of blocks can hold a pair: of blocks of 16 bits some 180 a
+fingerprint would have to be filed to miss one in a million. Files are MinHash bands instead, 32 of 4 of a set's 128
+smallest hashes. A pair at 0.8 shares no band once in 20 million times.
+
+1. Each set meets the smallest set of each of its bands, its centres, and is verified by its shingles against the smallest
+   of these that is near: a link for most members of a group, however large. A centre with many members is dealt out by salt.
+2. In bands that still hold more than one component, near pairs of different components are looked for by their
+   fingerprints; a task gives a spanning forest of them, not the pairs. With the links they make clusters.
 3. In a cluster of more than one component all pairs of different components are compared exactly, by lists of the sets
    that hold each shingle; a task gives a spanning forest of the links.
 
@@ -39,10 +45,11 @@ from .simhash import components
 
 WORDS, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS = 32, 4
-LIKELY = 80
+BITS, FAR, PIVOTS = 1024, 256, 24
 FILE_ROWS, FILE_BYTES, STAR_ROWS = 2048, 16_000_000, 512
 _MIX = np.array([[xxhash.xxh64_intdigest(b"%s %d" % (kind, i), 0) | 1 for i in range(BANDS * ROWS)] for kind in (b"add", b"times")], dtype=np.uint64)
-_KIND = "struct<same:long,size:long,sketch:binary,bands:array<long>>"
+_SALTS = np.array([xxhash.xxh64_intdigest(b"bits %d" % i, 0) for i in range(BITS // 64)], dtype=np.uint64)
+_KIND = "struct<same:long,size:long,print:binary,bands:array<long>>"
 
 
 def shingles_of(text: str, words: int = WORDS) -> np.ndarray:
@@ -53,16 +60,32 @@ def shingles_of(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(digest(b" ".join(s), SEED) for s in zip(*tails)), dtype=np.uint64))
 
 
+def fingerprint_of(shingles: np.ndarray) -> bytes:
+    """A bit is set if more than half of the shingles' hashes set it."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for first in range(0, len(shingles), 255):  # as many as a byte counts
+        ones += np.unpackbits(_mixed(shingles[first : first + 255]).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
+
+
+def _mixed(shingles: np.ndarray) -> np.ndarray:
+    """`BITS` bits of each shingle's hash, by SplitMix64's steps."""
+    x = shingles[:, None] ^ _SALTS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def sketch_of(shingles: np.ndarray) -> tuple[int, bytes, list[int]]:
-    """A digest of the set, a byte of each smallest hash, and the bands."""
+    """A digest of the set, its fingerprint and its bands."""
     if not len(shingles):
-        return 0, bytes(BANDS * ROWS), []
+        return 0, bytes(BITS // 8), []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for first in range(0, len(shingles), 512):
         least = np.minimum(least, ((shingles[first : first + 512, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
     raw, step = least.tobytes(), 8 * ROWS
     bands = [_signed(xxhash.xxh64_intdigest(raw[step * i : step * (i + 1)], i)) for i in range(BANDS)]
-    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)), least.astype(np.uint8).tobytes(), bands
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)), fingerprint_of(shingles), bands
 
 
 def _signed(x: int) -> int:
@@ -76,17 +99,34 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _sketches(texts: list[str]) -> pa.Array:
-    same, sketch, bands = zip(*(sketch_of(shingles_of(t)) for t in texts))
+    same, prints, bands = zip(*(sketch_of(shingles_of(t)) for t in texts))
     size = pa.array([len(t) for t in texts], pa.int64())
-    return pa.StructArray.from_arrays([pa.array(same, pa.int64()), size, pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["same", "size", "sketch", "bands"])
+    return pa.StructArray.from_arrays([pa.array(same, pa.int64()), size, pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["same", "size", "print", "bands"])
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+
 
+def _distances(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(-1, PIVOTS)
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
 
+def _near(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> np.ndarray:
+    """Which pairs differ in `FAR` bits at most; those that the pivots discard are not compared."""
+    near = np.abs(from_a - from_b).max(axis=1, initial=0) <= FAR
+    near[near] = np.bitwise_count(a[near] ^ b[near]).sum(axis=1) <= FAR
+    return near
 
-def _likely(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array((_bytes(a) == _bytes(b)).sum(axis=1) >= LIKELY)
+
+def _likely(a: pa.Array, b: pa.Array, from_a: pa.Array, from_b: pa.Array) -> pa.Array:
+    return pa.array(_near(_prints(a), _prints(b), _distances(from_a), _distances(from_b)))
+
+
+def pivot_distances(prints: np.ndarray, pivots: list[bytes]) -> np.ndarray:
+    """Of each fingerprint to each of `PIVOTS` pivots; where there are fewer, the rest is the fingerprint without bits."""
+    full = [*pivots, *[bytes(BITS // 8)] * (PIVOTS - len(pivots))]
+    return np.stack([np.bitwise_count(prints ^ np.frombuffer(p, dtype=np.uint64)).sum(axis=1) for p in full], axis=1).astype(np.int16)
 
 
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -134,10 +174,10 @@ def _files(batches: Iterator[pa.RecordBatch], column: str = "file") -> Iterator[
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the likely pairs of different components; rows come sorted by file."""
+    """A forest of the near pairs of different components; rows come sorted by file."""
     kept = None
     for batch in batches:
-        now = tuple(batch[c].to_numpy() for c in ("file", "same", "root")) + (_bytes(batch["sketch"]),)
+        now = tuple(batch[c].to_numpy() for c in ("file", "same", "root")) + (_prints(batch["print"]), _distances(batch["distances"]))
         if kept is not None:
             now = tuple(np.concatenate(x) for x in zip(kept, now))
         if not len(now[0]):
@@ -149,13 +189,13 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _apart_in(*kept)
 
 
-def _apart_in(file: np.ndarray, same: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+def _apart_in(file: np.ndarray, same: np.ndarray, root: np.ndarray, prints: np.ndarray, distances: np.ndarray) -> pa.RecordBatch:
     forest, at, step, links = _Forest(file, root), np.arange(len(same) - 1), 1, []
     while len(at := at[at + step < len(same)]):
         at, found = at[file[at] == file[at + step]], len(links)
         new = at[forest.parent[at] != forest.parent[at + step]]
         for part in np.array_split(new, len(new) // 65_536 + 1):
-            near = part[(sketch[part] == sketch[part + step]).sum(axis=1) >= LIKELY]
+            near = part[_near(prints[part], prints[part + step], distances[part], distances[part + step])]
             links += [(i, i + step) for i in near.tolist() if forest.join(i, i + step)]
         if len(links) > found:
             forest.flatten()
@@ -235,14 +275,26 @@ def _dealt(rows: DataFrame, group: str, blocks: Column, count: DataFrame) -> Dat
     return rows.withColumn("file", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop(group, "blocks", "own", "other")
 
 
-def _rest(banded: DataFrame, sets: DataFrame, roots: DataFrame, file_rows: int) -> DataFrame:
-    """A forest of likely pairs that share a band and no component yet."""
+def _located(banded: DataFrame, sets: DataFrame) -> DataFrame:
+    """same, print, distances: the table of every fingerprint's distances to the pivots, the centres of most band members."""
+    most = banded.groupBy("b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b").limit(PIVOTS).select(F.col("b").alias("same"))
+    pivots = [bytes(r["print"]) for r in sets.select("same", "print").join(F.broadcast(cut(most)), "same").orderBy("same").collect()]
+
+    @F.arrow_udf("binary")
+    def distances(prints: pa.Array) -> pa.Array:
+        return pa.array([row.tobytes() for row in pivot_distances(_prints(prints), pivots)], pa.binary())
+
+    return written(sets.select("same", "print", distances("print").alias("distances")), "located")
+
+
+def _rest(banded: DataFrame, located: DataFrame, roots: DataFrame, file_rows: int) -> DataFrame:
+    """A forest of near pairs that share a band and no component yet."""
     rooted = banded.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     blocks = F.when(F.col("n") > file_rows, F.ceil(F.col("n") * 2 / file_rows)).otherwise(1)
     filed = _dealt(rooted, "band", blocks, mixed)
-    with_sketch = filed.join(sets.select("same", "sketch"), "same").repartition("file").sortWithinPartitions("file")
-    return with_sketch.mapInArrow(_apart, "a long, b long").distinct()
+    with_print = filed.join(located, "same").repartition("file").sortWithinPartitions("file")
+    return with_print.mapInArrow(_apart, "a long, b long").distinct()
 
 
 def _exact(likely: DataFrame, found: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFrame, file_rows: int) -> DataFrame:
@@ -263,17 +315,17 @@ def named_roots(linked: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, texts: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
-    """sets: same, row, size, sketch, bands; texts: row, text. Rows (a, b) whose components are those of all linked pairs."""
+    """sets: same, row, size, print, bands; texts: row, text. Rows (a, b) whose components are those of all linked pairs."""
     banded = sets.select("same", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("same").alias("b"), F.count("*").alias("n")).where("n > 1")
     banded = cut(banded.join(shared.select("band", "b").repartition("band"), "band"))  # as in _dealt
-    likely = F.arrow_udf(_likely, "boolean")
-    sketch = lambda x: sets.select(F.col("same").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    located, likely = _located(banded, sets), F.arrow_udf(_likely, "boolean")
+    place = lambda x: located.select(F.col("same").alias(x), F.col("print").alias(f"print_{x}"), F.col("distances").alias(f"from_{x}"))
     stars = banded.select(F.col("same").alias("a"), "b").where("a != b").distinct()
-    stars = stars.join(sketch("a"), "a").join(sketch("b"), "b").where(likely("sketch_a", "sketch_b")).groupBy("a").agg(F.min("b").alias("b"))
+    stars = stars.join(place("a"), "a").join(place("b"), "b").where(likely("print_a", "print_b", "from_a", "from_b")).groupBy("a").agg(F.min("b").alias("b"))
     found = cut(_verified(cut(stars), sets, texts))
     roots = cut(named_roots(components(found)))
-    rest = cut(_rest(banded.select("same", "band"), sets, roots, file_rows))
+    rest = cut(_rest(banded.select("same", "band"), located, roots, file_rows))
     return found.union(_exact(rest, found, roots, sets, texts, file_rows))
 
 
@@ -285,8 +337,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", file_r
     placed = written(docs.withColumn("__ef_row", F.monotonically_increasing_id()), "placed")
     slim = placed.select(F.col(key).alias("key"), F.col("__ef_row").alias("row"), F.col(text).alias("text"))
     sketched = with_computed(slim, "of", _KIND, _sketches, keep=["key", "row"]).select(F.struct("key", "row").alias("member"), "of.*")
-    # Copies have the same sketch and bands, so any of a set's rows gives them.
-    sets = written(sketched.groupBy("same").agg(F.min("member").alias("member"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sets").withColumn("row", F.col("member.row"))
+    # Copies have the same fingerprint and bands, so any of a set's rows gives them.
+    sets = written(sketched.groupBy("same").agg(F.min("member").alias("member"), F.max("size").alias("size"), F.first("print").alias("print"), F.first("bands").alias("bands")), "sets").withColumn("row", F.col("member.row"))
     linked = components(links(sets, slim.select("row", "text"), file_rows))
     named = sets.select("same", "member").join(linked.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     firsts = named.groupBy("root").agg(F.min("member").alias("member")).select(F.col("member.row").alias("__ef_row"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from emberfold.llm import near_copies as N
@@ -88,3 +89,48 @@ def test_picked_rows(spark):
     assert out.columns == rows.columns
     assert sorted(r["n"] for r in out.collect()) == sorted(numbers + numbers[2:])
     assert picked(rows, some.where("false"), "n").count() == picked(rows.where("false"), some, "n").count() == 0
+
+
+def test_fingerprints_are_majorities_of_bits():
+    for n in (1, 2, 7, 300):
+        shingles = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+        rows = [np.unpackbits(r.view(np.uint8)) for r in N._mixed(shingles)]
+        want = [2 * sum(int(r[i]) for r in rows) > len(rows) for i in range(N.BITS)]
+        assert np.unpackbits(np.frombuffer(N.fingerprint_of(shingles), dtype=np.uint8)).astype(bool).tolist() == want
+
+
+def test_no_pair_at_the_least_similarity_is_far():
+    """The chance that a bit differs, for sets that share `both` shingles and have `x` and `y` of their own."""
+    from math import comb, erfc, sqrt
+
+    def over(n, need):  # more than `need` of n bits are set
+        return sum(comb(n, k) for k in range(n + 1) if k > need) / 2**n
+
+    def differs(both, x, y):
+        chance = 0.0
+        for k in range(both + 1):
+            p, q = over(x, (both + x) / 2 - k), over(y, (both + y) / 2 - k)
+            chance += comb(both, k) / 2**both * (p * (1 - q) + q * (1 - p))
+        return chance
+
+    most = max(differs(both, x, y) for both in range(1, 60) for x in range(16) for y in range(16) if both >= N.LEAST * (both + x + y))
+    assert 0.15 < most < 0.19
+    assert erfc((N.FAR - N.BITS * most) / sqrt(2 * N.BITS * most * (1 - most))) / 2 < 1e-6
+
+
+def test_pivots_discard_and_lose_no_pair():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (3, 400)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([b[: 400 - e], rng.integers(0, 2**63, e).astype(np.uint64)])) for b in base for e in (0, 5, 20, 40, 200)]
+    prints = np.stack([np.frombuffer(N.fingerprint_of(x), dtype=np.uint64) for x in sets])
+    distances = N.pivot_distances(prints, [prints[0].tobytes(), prints[5].tobytes()])
+    a, b = np.triu_indices(len(sets), 1)
+    near = N._near(prints[a], prints[b], distances[a], distances[b])
+    bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
+    assert (near == (bits <= N.FAR)).all()
+    assert all(n for i, j, n in zip(a, b, near) if N.similarity(sets[i], sets[j]) >= N.LEAST)
+    discarded = np.abs(distances[a] - distances[b]).max(axis=1) > N.FAR
+    assert discarded.any() and not (discarded & (bits <= N.FAR)).any()
+    same, root, file = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    links = N._apart_in(file, same, root, prints, distances).to_pylist()
+    assert {x["a"] // 5 for x in links} == {0, 1, 2} and all(x["a"] // 5 == x["b"] // 5 for x in links)

@@ -222,13 +222,14 @@ def _linked_in(same: np.ndarray, root: np.ndarray, texts: pa.ChunkedArray) -> pa
     count = np.bincount(places, minlength=len(shingle))
     start, own = np.cumsum(count) - count, np.append(0, np.cumsum(size))
     forest, links = _Forest(np.zeros(n, dtype=np.int64), root), []
-    for i in range(n):
+    _, kind, times = np.unique(root, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(kind != times.argmax()).tolist():  # a pair of different components has one of these
         of = places[own[i] : own[i + 1]]
         many = count[of]
         lists = np.repeat(start[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         both = np.bincount(holders[lists], minlength=n)
         near = np.flatnonzero(both / (size[i] + size - both) >= LEAST)
-        links += [(i, int(j)) for j in near[near > i] if forest.join(i, int(j))]
+        links += [(i, int(j)) for j in near if forest.join(i, int(j))]
     a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
     return _pairs(same[a], same[b])
 
@@ -265,14 +266,35 @@ def _verified(stars: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return both.repartition("b", "salt").sortWithinPartitions("b", "salt", "leaf").mapInArrow(_star, "a long, b long")
 
 
-def _dealt(rows: DataFrame, group: str, blocks: Column, count: DataFrame) -> DataFrame:
-    """count: group and what `blocks` reads. Rows with a file: each two blocks of a group meet in one.
+def _mixed_groups(rows: DataFrame, group: str, file_rows: int, size: Column | None = None) -> DataFrame:
+    """rows: group, root. The groups of more than one component: group, n, big, few and many.
 
-    A shuffle on either side of the join lets adaptive execution split a large group's rows.
+    big is the component with most rows; the other rows make `few` blocks and its own `many`. A group of one file has one
+    block and none.
     """
-    rows = rows.join(count.select(group, blocks.cast("long").alias("blocks")).repartition(group), group).withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn("file", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop(group, "blocks", "own", "other")
+    of = rows.groupBy(group, "root").agg(F.count("*").alias("n"), (F.lit(0) if size is None else F.sum(size)).cast("long").alias("bytes"))
+    top = F.max(F.struct("n", "bytes", F.col("root").alias("big"))).alias("top")
+    all_of = of.groupBy(group).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"), top).where("roots > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n * 2 / file_rows, size * 2 / FILE_BYTES))
+    crowded = (F.col("n") > file_rows) | (F.col("bytes") > FILE_BYTES)
+    few = F.when(crowded, F.greatest(F.lit(1), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")))).otherwise(1)
+    many = F.when(crowded, F.greatest(F.lit(1), blocks(F.col("top.n"), F.col("top.bytes")))).otherwise(0)
+    return all_of.select(group, "n", "top.big", few.cast("long").alias("few"), many.cast("long").alias("many"))
+
+
+def _dealt(rows: DataFrame, group: str, mixed: DataFrame) -> DataFrame:
+    """mixed: `_mixed_groups`. Rows with a file: each two rows of a group meet in one, but for two of its largest component.
+
+    Rows of the largest component go to a file for each block of other rows, and only these to all; so a group grows by
+    how many rows its largest component lacks. A shuffle on either side of the join lets adaptive execution split a large
+    group's rows.
+    """
+    rows = rows.join(mixed.select(group, "big", "few", "many").repartition(group), group)
+    inside = (F.col("root") == F.col("big")) & (F.col("many") > 0)
+    of = F.xxhash64("same")
+    rows = rows.withColumn("own", F.when(inside, F.col("few") + F.pmod(of, F.greatest("many", F.lit(1).cast("long")))).otherwise(F.pmod(of, F.col("few"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") + F.when(inside, 0).otherwise(F.col("many")) - 1)))
+    return rows.withColumn("file", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop(group, "big", "few", "many", "own", "other")
 
 
 def _located(banded: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,10 +311,8 @@ def _located(banded: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rest(banded: DataFrame, located: DataFrame, roots: DataFrame, file_rows: int) -> DataFrame:
     """A forest of near pairs that share a band and no component yet."""
-    rooted = banded.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
-    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    blocks = F.when(F.col("n") > file_rows, F.ceil(F.col("n") * 2 / file_rows)).otherwise(1)
-    filed = _dealt(rooted, "band", blocks, mixed)
+    rooted = _rooted(banded, roots)
+    filed = _dealt(rooted, "band", _mixed_groups(rooted, "band", file_rows))
     with_print = filed.join(located, "same").repartition("file").sortWithinPartitions("file")
     return with_print.mapInArrow(_apart, "a long, b long").distinct()
 
@@ -300,13 +320,15 @@ def _rest(banded: DataFrame, located: DataFrame, roots: DataFrame, file_rows: in
 def _exact(likely: DataFrame, found: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFrame, file_rows: int) -> DataFrame:
     """The links inside clusters of more than one component."""
     clusters = named_roots(components(found.union(likely))).withColumnRenamed("root", "cluster")
-    members = clusters.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same")).join(sets.select("same", "size"), "same")
-    mixed = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    crowded = (F.col("n") > file_rows) | (F.col("bytes") > FILE_BYTES)
-    blocks = F.when(crowded, F.greatest(F.ceil(F.col("n") * 2 / file_rows), F.ceil(F.col("bytes") * 2 / FILE_BYTES))).otherwise(1)
-    mixed = cut(mixed)
+    members = _rooted(clusters, roots).join(sets.select("same", "size"), "same")
+    mixed = cut(_mixed_groups(members, "cluster", file_rows, F.col("size")))
     few = _with_text(members.join(mixed.select("cluster"), "cluster", "left_semi").select("same", "root", "cluster"), sets, texts)
-    return _dealt(few, "cluster", blocks, mixed).repartition("file").sortWithinPartitions("file").mapInArrow(_linked, "a long, b long")
+    return _dealt(few, "cluster", mixed).repartition("file").sortWithinPartitions("file").mapInArrow(_linked, "a long, b long")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of their set, which is the set itself where it has no link."""
+    return rows.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
 
 
 def named_roots(linked: DataFrame) -> DataFrame:

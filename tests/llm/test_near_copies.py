@@ -134,3 +134,18 @@ def test_pivots_discard_and_lose_no_pair():
     same, root, file = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
     links = N._apart_in(file, same, root, prints, distances).to_pylist()
     assert {x["a"] // 5 for x in links} == {0, 1, 2} and all(x["a"] // 5 == x["b"] // 5 for x in links)
+
+
+def test_a_large_component_is_not_dealt_to_itself(spark):
+    """Each two rows of different components meet in a file, and rows of the largest are dealt by the others only."""
+    roots = [0] * 400 + [1] * 3 + [2] * 2 + list(range(3, 8))
+    rows = spark.createDataFrame([(i, r, g) for g in (5, 6) for i, r in enumerate(roots)] + [(i, 1, 7) for i in range(40)], "same long, root long, g long")
+    dealt = [tuple(r) for r in N._dealt(rows, "g", N._mixed_groups(rows, "g", 20)).select("file", "same", "root").collect()]
+    files, meet = {}, set()
+    for file, same, root in dealt:
+        files.setdefault(file, []).append((same, root))
+    for members in files.values():
+        meet |= {(a, b) for a, x in members for b, y in members if x != y}
+    assert meet == {(a, b) for a, x in enumerate(roots) for b, y in enumerate(roots) if x != y}
+    assert len(dealt) == 2 * (400 * 1 + 10 * (1 + 40))
+    assert max(map(len, files.values())) < 60
